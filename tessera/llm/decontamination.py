@@ -50,19 +50,20 @@ def find_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     compared word by word and the hit is extended. Null or wordless texts have no
     words and match nothing; repeated item_ids count once; rows of docs repeat as given.
     """
-    return _measure(docs, bench).select(
-        "doc_id", "n_words", "n_hit", "n_items",
-        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+    return _measure(docs.select("doc_id", "text"), bench).select(
+        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__found").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("__found")), 256).alias("items_sha256"),
+        (F.col("__n_hit") > 0).alias("contaminated"),
     )
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, most: float = 0.0) -> DataFrame:
     """The rows of docs of whose words at most the share `most` is hit, with the columns they have."""
-    return _measure(docs, bench, docs.columns).filter(F.col("n_hit") <= F.lit(most) * F.col("n_words")).select(*[F.col(f"__keep.`{c}`").alias(c) for c in docs.columns])
+    return _measure(docs, bench).filter(F.col("__n_hit") <= F.lit(most) * F.col("__n_words")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _measure(docs: DataFrame, bench: DataFrame, keep: list[str] = []) -> DataFrame:
+def _measure(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """docs with __n_words, __n_hit and __found (the items that occur)."""
     items = bench.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("iw")).filter((F.size("iw") > 0) & F.col("item").isNotNull()).distinct()
     sizes = items.agg(F.count("*").alias("n"), F.collect_set(F.when(F.size("iw") < SPAN, F.size("iw")))).first()  # SPAN - 1 lengths at most
     short = sorted(sizes[1])
@@ -72,7 +73,6 @@ def _measure(docs: DataFrame, bench: DataFrame, keep: list[str] = []) -> DataFra
     own = F.coalesce(*whole, let(grams(F.col("iw"), GRAM), lambda h: winnow(h, SPAN - GRAM + 1)))
     marks = items.select("item", F.explode(own).alias("mark"))
 
-    key = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep")] if keep else []))
     found = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(fingerprint(F.col("w"), short)).alias("mark"))
     if few:
         met = found.join(F.broadcast(marks), "mark").select("doc_id", "item").distinct()
@@ -80,7 +80,8 @@ def _measure(docs: DataFrame, bench: DataFrame, keep: list[str] = []) -> DataFra
         met = found.join(marks, "mark").select("doc_id", "item").distinct()
     by_doc = met.join(near(items), "item").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("item", "iw", grams(F.col("iw"), GRAM).alias("ih"))).alias("__items"))
 
-    rows = key.join(by_doc, key["doc_id"].eqNullSafe(by_doc["__doc"]), "left").drop("__doc").withColumn("w", words(F.col("text"))).withColumn("h", F.when(F.col("__items").isNotNull(), grams(F.col("w"), GRAM)))
+    rows = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["__doc"]), "left").drop("__doc").withColumn("__w", words(F.col("text")))
+    rows = rows.withColumn("__h", F.when(F.col("__items").isNotNull(), grams(F.col("__w"), GRAM)))
 
     def starts(item: Column, w: Column, h: Column) -> Column:
         """Where windows of the item occur, as structs (at, n)."""
@@ -98,12 +99,11 @@ def _measure(docs: DataFrame, bench: DataFrame, keep: list[str] = []) -> DataFra
         )
         return F.flatten(F.transform(offsets, hit))
 
-    hits = F.when(F.col("__items").isNotNull(), F.filter(F.transform("__items", lambda x: F.struct(x["item"].alias("item"), starts(x, F.col("w"), F.col("h")).alias("starts"))), lambda s: F.size(s["starts"]) > 0))
-    rows = rows.withColumn("hits", hits)
-    at = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("hits", lambda s: s["starts"])), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
+    hits = F.when(F.col("__items").isNotNull(), F.filter(F.transform("__items", lambda x: F.struct(x["item"].alias("item"), starts(x, F.col("__w"), F.col("__h")).alias("starts"))), lambda s: F.size(s["starts"]) > 0))
+    rows = rows.withColumn("__hits", hits)
+    at = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("__hits", lambda s: s["starts"])), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
     return rows.select(
-        *(["__keep"] if keep else []), "doc_id", F.size("w").cast("long").alias("n_words"),
-        F.coalesce(F.when(F.col("hits").isNotNull(), F.size(at)), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size(F.array_distinct(F.transform("hits", lambda s: s["item"]))), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce(F.array_distinct(F.transform("hits", lambda s: s["item"])), F.array().cast("array<string>")).alias("items"),
+        *[F.col(f"`{c}`") for c in docs.columns], F.size("__w").cast("long").alias("__n_words"),
+        F.coalesce(F.when(F.col("__hits").isNotNull(), F.size(at)), F.lit(0)).cast("long").alias("__n_hit"),
+        F.coalesce(F.array_distinct(F.transform("__hits", lambda s: s["item"])), F.array().cast("array<string>")).alias("__found"),
     )

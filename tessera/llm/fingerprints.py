@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PIECE_BYTES
-from .shingles import shingle_hashes
+from .shingles import mix, shingle_hashes
 
 BINS, BITS = 512, 4
 NONE = np.uint64(2**64 - 1)
@@ -58,7 +58,9 @@ def fingerprints(texts: list[str], bits: int = BITS) -> list[bytes]:
         hit = full[rows, to]
         source[rows[hit], cols[hit]] = to[hit]
         rows, cols, a = rows[~hit], cols[~hit], a + 1
-    low = (np.take_along_axis(table, source, 1) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    # Bins that share a value must not be equal by chance all at once: the bin goes into the bits that are stored.
+    value = mix(np.take_along_axis(table, source, 1) + np.arange(BINS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    low = (value & np.uint64((1 << bits) - 1)).astype(np.uint8)
     packed = np.packbits(np.unpackbits(low[:, :, None], axis=2)[:, :, 8 - bits :].reshape(n, -1), axis=1)
     return [packed[i].tobytes() if have[i] else b"" for i in range(n)]
 

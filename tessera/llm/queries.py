@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages -> ARC -> WARC files -> what the files say."""
     from . import archives as A
@@ -27,6 +33,16 @@ def op2_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages by visible text, declared language, suffix and host; trigrams are fitted on labelled documents."""
+    from . import language_id as L
+
+    model = L.fit(table(spark, sf_dir, "documents"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", L.visible_text(F.col("html")).alias("text"), L.declared_language(F.col("html")).alias("declared"))
+    parts = L.host_parts(F.col("url"))
+    return L.identify(pages, model, declared=F.col("declared"), **parts).select("page_id", "declared", "text_lang", "lang", "confidence", "accepted")
+
+
 def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, words_in
 
@@ -34,6 +50,15 @@ def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, each a file of its source's directory."""
+    from .licenses import scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
+    return scan(docs, path).select("doc_id", "license", "cosine", "license_share", "inherited_license", "inherited_from", "effective_license")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -62,7 +87,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_convert, op4_weighted_mix, op7_token_counts, op8_token_store, op9_fingerprints, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_warc_convert, op3_language_id, op4_weighted_mix, op5_license_scan, op7_token_counts, op8_token_store, op9_fingerprints, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
