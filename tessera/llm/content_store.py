@@ -253,7 +253,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     names = recipes.select("doc_id", "uid", F.posexplode(F.expr("transform(sequence(0, cast(octet_length(hashes) / 16 as int) - 1), i -> substring(hashes, i * 16 + 1, 16))")).alias("seq", "h"))
     rows = names.join(chunk, names["h"] == chunk["hash"]).select("doc_id", "uid", "seq", "width", "ids")
 
-    def whole(key, table: pa.Table) -> pa.Table:
+    def whole(key, table):
         table = table.sort_by("seq")
         ids = [np.frombuffer(x, "<u2" if w == 2 else "<u4").astype(np.int32) for x, w in zip(table["ids"].to_pylist(), table["width"].to_pylist())]
         return pa.table({"doc_id": table["doc_id"].slice(0, 1), "ids": pa.array([np.concatenate(ids)], pa.list_(pa.int32()))})

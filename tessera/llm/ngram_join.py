@@ -217,7 +217,7 @@ _PAIRS = "kind int, a long, b long, l int, c int, postings binary"
 def _pairs(packed: DataFrame, percent: int) -> DataFrame:
     """kind 0: pairs of short lists with the shared shingles counted; 1: pairs of stars; 2: long lists as they are."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         rows = np.concatenate([np.frombuffer(x, _POSTING) for x in table["postings"].to_pylist()])
         rows = rows[np.lexsort((rows["cls"], rows["at"], rows["token"]))]
         # A class may come from several tasks: its copies have the same postings.
@@ -334,7 +334,7 @@ def _cross(long: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     mixed = mixed.withColumn("way", way).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     mixed = mixed.select("token", "cls", "n", "at", "l", "label", F.least("way", "other").alias("i"), F.greatest("way", "other").alias("j"), "way")
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         rows = np.empty(table.num_rows, _POSTING)
         for c in ("cls", "n", "at", "l"):
             rows[c] = table[c].to_numpy()
