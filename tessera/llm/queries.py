@@ -59,6 +59,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, path).select("doc_id", "license", "cosine", "license_share", "inherited_license", "inherited_from", "effective_license")
 
 
+def op6_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm_scoring as L
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), L.held_out(F.col("doc_id")).alias("held_out"))
+    return L.score(docs, L.train(docs.filter("not held_out")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -87,7 +94,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_warc_convert, op3_language_id, op4_weighted_mix, op5_license_scan, op7_token_counts, op8_token_store, op9_fingerprints, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_warc_convert, op3_language_id, op4_weighted_mix, op5_license_scan, op6_ctw_scoring, op7_token_counts, op8_token_store, op9_fingerprints, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
