@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, settle, utf8
-from .components import label_components
+from ..operators.components import label_components
 from .shingles import mix, shingle_sets
 
 #: Shingles whose counts are kept (the most frequent), and those a task offers.
