@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces whose ids a worker remembers; the memory is emptied beyond that.
+from .common import utf8
+
+#: Words whose parts a worker remembers; the memory is emptied beyond that.
 REMEMBERED = 400_000
 #: Bytes of pieces given to the tokenizer at once.
 BATCH_BYTES = 1 << 18
@@ -35,11 +38,12 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.length = np.zeros(1024, np.int32)
-        self.start = np.zeros(1024, np.int64)
-        self.ids = np.zeros(4096, np.uint32)
-        self.used = 0
+        #: Parts are encoded, words are what texts are looked up by: each a few parts.
+        self.part: dict[str, int] = {}
+        self.word: dict[str, tuple[int, ...]] = {"": ()}
+        self.length = np.zeros(0, np.int32)
+        self.start = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def _library(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids by the library, in batches of about equal bytes."""
@@ -53,80 +57,81 @@ class PieceEncoder:
         if batch:
             yield from (e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))
 
-    def _keep(self, piece: str, ids: np.ndarray) -> int:
-        k = len(self.number)
-        if k >= len(self.length):
-            self.length, self.start = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.length, self.start))
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.length[k], self.start[k] = len(ids), self.used
-        self.used += len(ids)
-        self.number[piece] = k
-        return k
-
     def _learn(self, new: list[str]) -> None:
-        """Encode pieces that are not known, by the parts between which every pre-token ends."""
-        parts = {p: _SAFE.split(p) for p in new}
-        direct = [x for x in dict.fromkeys(x for xs in parts.values() for x in xs) if x not in self.number]
-        for x, ids in zip(direct, self._library(direct)):
-            self._keep(x, np.array(ids, np.uint32))
-        for p, xs in parts.items():
-            if p not in self.number:
-                self._keep(p, np.concatenate([self.ids[self.start[k] : self.start[k] + self.length[k]] for k in map(self.number.__getitem__, xs)]))
+        """Encode words that are not known, by the parts between which every pre-token ends."""
+        split = [_SAFE.split(w) for w in new]
+        part = self.part
+        fresh = [x for x in dict.fromkeys(chain.from_iterable(split)) if x not in part]
+        if fresh:
+            got = list(self._library(fresh))
+            part.update(zip(fresh, range(len(part), len(part) + len(fresh))))
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
+            self.length = np.concatenate([self.length, n.astype(np.int32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))])
+        self.word.update(zip(new, (tuple(map(part.__getitem__, xs)) for xs in split)))
 
     def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of every text as numbers, and n + 1 offsets."""
-        if len(self.number) > REMEMBERED:
+        """The parts of every text as numbers, and n + 1 offsets."""
+        if len(self.word) > REMEMBERED:
             self.clear()
-        parts = pc.split_pattern(texts, " ")
-        offs = parts.offsets.to_numpy().astype(np.int64)
-        words = parts.flatten().dictionary_encode()
+        cut = pc.split_pattern(texts, " ")
+        offs = cut.offsets.to_numpy().astype(np.int64)
+        words = cut.flatten().dictionary_encode()
         at, values = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
-        # A word may stand alone if the character before its blank is printable and no special string is in it.
-        loose = np.array([not v or not v[-1].isprintable() or v[-1].isspace() for v in values], bool)
-        pieces = [" " + v for v in values]
-        get = self.number.get
-        known = [get(p, -1) for p in pieces]
-        new = [p for p, k in zip(pieces, known) if k < 0]
-        first = np.zeros(len(at), bool)
-        first[offs[:-1]] = True  # every text has one part at least
-        after_loose = np.zeros(len(at), bool)
-        after_loose[1:] = loose[at[:-1]]
-        glued = after_loose & ~first
+        # A word may stand alone if the character before its blank is printable.
+        data, bounds = utf8(words.dictionary)
+        last = np.where(bounds[1:] > bounds[:-1], data[np.maximum(bounds[1:] - 1, 0)], 32) if len(data) else np.full(len(values), 32)
+        loose = (last <= 32) | (last >= 127)
+        for i in np.flatnonzero(loose & (last >= 128)).tolist():
+            loose[i] = not values[i][-1].isprintable()
+        glued = np.zeros(len(at), bool)
+        glued[1:] = loose[at[:-1]]
+        glued[offs[:-1]] = False  # every text has one word at least, and begins with it
         extra_rows = np.flatnonzero(np.add.reduceat(glued.astype(np.int64), offs[:-1]) > 0)
         starts = [values[i] for i in at[offs[:-1]].tolist()]
-        new_starts = [s for s in dict.fromkeys(starts) if s and s not in self.number]
-        self._learn([*new, *new_starts])
-        code = np.array([get(p) for p in pieces], np.int64)[at] if len(at) else np.zeros(0, np.int64)
-        for i, s in zip(offs[:-1].tolist(), starts):
-            code[i] = self.number[s] if s else -1
+        rows = [" " + v for v in values]
+        own = list(dict.fromkeys(starts))
+        place = dict(zip(own, range(len(rows), len(rows) + len(own))))
+        rows += own
+        code = at.astype(np.int64)
+        code[offs[:-1]] = [place[v] for v in starts]
         if len(extra_rows):
-            code, offs = self._glue(code, offs, at, values, glued, extra_rows)
-        keep = code >= 0
-        new_offs = np.concatenate([[0], np.cumsum(keep)])[offs]
-        return code[keep], new_offs
-
-    def _glue(self, code, offs, at, values, glued, rows) -> tuple[np.ndarray, np.ndarray]:
-        """Join words to the one before where a blank follows white space."""
-        fixes: list[tuple[int, str]] = []
-        for r in rows.tolist():
+            self._glue(code, offs, at, values, glued, extra_rows, rows)
+        get = self.word.get
+        new = [w for w in rows if get(w) is None]
+        if new:
+            self._learn(new)
+        got = [self.word[w] for w in rows]
+        count = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.int64, int(count.sum()))
+        first = np.cumsum(count) - count
+        n = count[code]
+        n[code < 0] = 0
+        ends = np.cumsum(n)
+        out = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[code] - (ends - n), n)]
+        return out, np.concatenate([[0], ends])[offs]
+
+    @staticmethod
+    def _glue(code, offs, at, values, glued, extra, rows) -> None:
+        """Join words to the one before where a blank follows white space: code -1 for what is joined on."""
+        known: dict[str, int] = {}
+        for r in extra.tolist():
             lo, hi = int(offs[r]), int(offs[r + 1])
             g = glued[lo:hi]
-            k = 0
-            while k < hi - lo:
-                e = k + 1
-                while e < hi - lo and g[e]:
-                    e += 1
-                if e > k + 1:
-                    text = " ".join(values[at[lo + j]] for j in range(k, e))
-                    fixes.append((lo + k, text if k == 0 else " " + text))
-                    code[lo + k + 1 : lo + e] = -1
-                k = e
-        self._learn([t for t in dict.fromkeys(t for _, t in fixes) if t and t not in self.number])
-        for i, t in fixes:
-            code[i] = self.number[t] if t else -1
-        return code, offs
+            tied = np.flatnonzero(g)
+            # Runs of tied words, each with the word before it.
+            breaks = np.flatnonzero(np.diff(tied) > 1)
+            for a, b in zip([int(tied[0]), *tied[breaks + 1].tolist()], [*tied[breaks].tolist(), int(tied[-1])]):
+                text = " ".join(values[i] for i in at[lo + a - 1 : lo + b + 1].tolist())
+                if a > 1:
+                    text = " " + text
+                k = known.get(text)
+                if k is None:
+                    k = known[text] = len(rows)
+                    rows.append(text)
+                code[lo + a - 1] = k
+                code[lo + a : lo + b + 1] = -1
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """The number of ids of every text."""
