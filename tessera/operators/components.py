@@ -59,7 +59,7 @@ def label_components(links: DataFrame) -> DataFrame:
     left. Minima are partial sums, so a node with very many links is no hot key.
     """
     spark = links.sparkSession
-    left = materialize(links.select("a", "b").filter("a <> b").mapInArrow(_local_forest, "a long, b long"), "links")
+    left = materialize(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").mapInArrow(_local_forest, "a long, b long"), "links")
     start, turns, k = left, [], 0
     while left.limit(1).count():
         both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
