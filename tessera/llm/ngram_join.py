@@ -12,7 +12,8 @@ Stages, each written to the shared folder:
      long ones give stars around the text with the fewest rarer shingles.
   4. the pairs are verified on whole texts; links give preliminary components.
   5. long lists again: only pairs across components, within the prefixes that the two
-     sizes require, in blocks of bounded size; verified likewise.
+     sizes require, where l shingles can have been shared, in blocks of bounded size;
+     verified likewise.
 No link between components is lost, and none within a component is needed.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, settle, utf8
@@ -315,8 +316,14 @@ def verify(docs: DataFrame, pairs: DataFrame, holders: DataFrame, percent: int)
     return two.mapInArrow(alike, "a long, b long")
 
 
-def _cross(long: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, l, c) across components from long lists, in blocks of HEAVY postings a side at most."""
+def _cross(long: DataFrame, short: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components from long lists, in blocks of HEAVY postings a side at most.
+
+    Texts that share l shingles of their prefixes share one before which each has l - 1
+    others that it can share at all: only there is a pair made. What a text may share
+    is told by its place (`nth`) among its postings in lists of several components, and
+    by the shingles its short lists share.
+    """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,31 +336,36 @@ def _cross(long: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     rows = settle(rows, "long")
     lists = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("token").alias("t"), F.ceil(F.col("size") / HEAVY).cast("int").alias("ways"))
     mixed = rows.join(lists, rows["token"] == lists["t"])
+    shared = short.select(F.explode(F.array("a", "b")).alias("s_cls"), "c").groupBy("s_cls").agg(F.sum("c").alias("s"))
+    mixed = mixed.join(shared, mixed["cls"] == shared["s_cls"], "left")
+    nth = F.row_number().over(Window.partitionBy("cls").orderBy("at")) + F.least(F.coalesce("s", F.lit(0)), F.lit(LONGEST))
     # Blocks (i, j), i <= j, of a list cut in `ways`: row i of the square, or column i.
     way = F.pmod(F.xxhash64("cls"), F.col("ways")).cast("int")
-    mixed = mixed.withColumn("way", way).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
-    mixed = mixed.select("token", "cls", "n", "at", "l", "label", F.least("way", "other").alias("i"), F.greatest("way", "other").alias("j"), "way")
+    mixed = mixed.withColumns({"nth": nth.cast("int"), "way": way}).filter("nth >= 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    mixed = mixed.select("token", "cls", "n", "at", "l", "label", "nth", F.least("way", "other").alias("i"), F.greatest("way", "other").alias("j"), "way")
 
     def run(key, table):
         rows = np.empty(table.num_rows, _POSTING)
         for c in ("cls", "n", "at", "l"):
             rows[c] = table[c].to_numpy()
-        label, way, diagonal = table["label"].to_numpy(), table["way"].to_numpy(), key[1].as_py() == key[2].as_py()
+        label, way, nth = (table[c].to_numpy() for c in ("label", "way", "nth"))
+        diagonal = key[1].as_py() == key[2].as_py()
         order = np.argsort(rows["n"], kind="stable")
-        rows, label, way = rows[order], label[order], way[order]
+        rows, label, way, nth = rows[order], label[order], way[order], nth[order]
         found, n = [], rows["n"]
         for i in range(len(rows)):
             # Sizes ascend: partners after i up to n / 0.8.
             stop = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
             y = np.flatnonzero((label[i + 1 : stop] != label[i]) & (diagonal | (way[i + 1 : stop] != way[i]))) + i + 1
+            y = y[np.minimum(nth[i], nth[y]) >= np.minimum(rows["l"][i], rows["l"][y])]
             if len(y):
                 x = np.repeat(rows[i], len(y))
                 good = _fit(x, rows[y], percent)
                 found.append((x[good], rows[y[good]]))
-        a, b, l, c = _count_pairs(found)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "l": pa.array(l.astype(np.int32)), "c": pa.array(c.astype(np.int32))})
+        a, b, _, _ = _count_pairs(found)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return mixed.groupBy("token", "i", "j").applyInArrow(run, "a long, b long, l int, c int")
+    return mixed.groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -376,11 +388,10 @@ def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = settle(first, "first")
     links = settle(verify(docs, first, holders, percent), "links")
     labels = settle(label_components(links), "labels")
-    more = settle(_cross(step.filter("kind = 2"), labels, percent).select("a", "b", "l", F.col("c").cast("long").alias("c")), "more")
+    more = settle(_cross(step.filter("kind = 2"), short, labels, percent).distinct(), "more")
     if more.limit(1).count():
         side = lambda c: labels.select(F.col("node").alias(f"__{c}"), F.col("label").alias(f"l{c}"))
-        every = more.unionByName(short.filter("c < l").select("a", "b", "l", "c")).groupBy("a", "b").agg(F.max("l").alias("l"), F.sum("c").alias("c")).filter("c >= l")
-        every = every.join(first.select("a", "b"), ["a", "b"], "left_anti")
+        every = more.join(first, ["a", "b"], "left_anti")
         every = every.join(side("a"), every["a"] == F.col("__a"), "left").join(side("b"), F.col("b") == F.col("__b"), "left")
         second = settle(every.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "second")
         if second.limit(1).count():
