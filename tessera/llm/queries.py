@@ -97,5 +97,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_join, op2_warc_convert, op3_language_id, op4_weighted_mix, op5_license_scan, op6_ctw_scoring, op7_token_counts, op8_token_store, op9_fingerprints, op10_decontaminate)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLES = {
+    "op2_warc_convert": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM p LEFT JOIN m ON m.d = p.d""",
+    "op4_weighted_mix": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
+r AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)] AS w, ss * 2.0::DOUBLE AS cap FROM s),
+f AS (SELECT *, cap / w AS full_at FROM r),
+t AS (SELECT *, (least(sum(ss) OVER () * 1.5::DOUBLE, sum(cap) OVER ()) - coalesce(sum(cap) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+g AS (SELECT source, ss, least(cap, w * (SELECT arg_min(level, full_at) FROM t WHERE level <= full_at)) AS target FROM t),
+q AS (SELECT d.*, g.ss, g.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source),
+sent AS (SELECT *, (b + ss * turn + size) / nullif(target, 0) AS fin FROM q, (VALUES (0), (1)) v(turn)),
+late AS (SELECT *, coalesce(sum(size) OVER (ORDER BY fin, source, h, doc_id, turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size AS ahead FROM sent WHERE fin > 1),
+won AS (SELECT doc_id, source, b, size, fin, turn FROM sent WHERE fin <= 1 UNION ALL SELECT doc_id, source, b, size, fin, turn FROM late WHERE ahead <= (SELECT sum(target) FROM g) - (SELECT coalesce(sum(size), 0) FROM sent WHERE fin <= 1))
+SELECT q.doc_id, q.size, q.ss AS source_size, q.target, CAST(coalesce(x.taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN (SELECT doc_id, source, b, size, sum(size) AS taken FROM won GROUP BY ALL) x
+  ON x.doc_id IS NOT DISTINCT FROM q.doc_id AND x.source IS NOT DISTINCT FROM q.source AND x.b = q.b AND x.size = q.size""",
+    "op10_decontaminate": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT DISTINCT doc_id, item, p, dw.n AS n FROM dw JOIN iw ON iw.n = dw.n AND iw.g = dw.g),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM h) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query's result; the others are held against brute force by the tests."""
+    return dict(ORACLES)
