@@ -386,3 +386,44 @@ def warm_start_pairs(spark, sf):
     g = load_graph(spark, sf)
     seeds = A.resolve_seeds(g.nodes, [(0, str(k)) for k in (1, 4, 9, 16, 25)])
     return E.warm_pairs(seeds).select(F.col("position").cast("long").alias("position"), "id", "next")
+
+
+@query
+def html_parse(spark, sf):
+    """Every page by the kind its address tells; general pages are of none."""
+    from .sources.html import parse_pages
+
+    return parse_pages(read(spark, sf, "pages")).select("page_id", F.coalesce("kind", F.lit("unknown")).alias("kind"), F.col("page").cast("long").alias("page"))
+
+
+@query
+def query_astar(spark, sf):
+    """The best-first query search over a graph's fragile tags and nodes: one row with the plan."""
+    from .plans.discovery import fragile_nodes
+    from .plans.query_search import collect_candidates, search
+
+    g, adj, phi = _phi(spark, sf)
+    rel = A.resolve_seeds(g.nodes, POSITIVE).select("id", F.lit(0.1).alias("relevance"))
+    scores = g.nodes.select("id").join(phi, "id").join(rel, "id", "left").select("id", F.coalesce("relevance", "phi").alias("relevance"), F.col("phi").alias("authority"))
+    f, edge = fragile_nodes(g, adj, scores)
+    got = search(collect_candidates(g.nodes, f.join(scores.select("id", "relevance"), "id"), A.degrees(adj), edge, NOW))
+    plan = got.plan or {"type": None}
+    key = plan.get("key") or (plan["params"].url("") if "params" in plan else None)
+    return spark.createDataFrame([(plan["type"], key, float(got.score), got.depth, got.expanded)], "type string, key string, score double, depth long, expanded long")
+
+
+@query
+def fog_of_war(spark, sf):
+    """NDCG of a search that sees a synthetic world from one seed, against the whole world's ranking."""
+    from .plans.corpus import Shape, community_graph
+    from .plans.discovery import fog_search
+
+    world = community_graph(spark, Shape(3, 12, 5, 2, 3, 4))
+    world = Graph(*(materialize(t, "world") for t in (world.nodes, world.edges, world.author_edges)))
+    seed = (WORK, "0")
+    start = A.resolve_seeds(world.nodes, [seed])
+    truth = R.run_query(world, start, params=FIVE)
+    works = world.nodes.filter(F.col("kind") == WORK).select("id", "key").join(truth.select("id", "relevance"), "id")
+    gains = works.join(start, "id", "left_anti").select("key", F.col("relevance").alias("gain"))
+    ranked, _ = fog_search(world, seed, 2, params=FIVE)
+    return E.ndcg(ranked, gains, [5, 10, 20]).select(F.col("k").cast("long").alias("k"), r8("ndcg").alias("ndcg"))

@@ -123,6 +123,8 @@ ORACLES: dict[str, str] = {
       SELECT * FROM (SELECT r.id, round(greatest(0, 1 - rho) * near * (phi * (1 + deg)) * 1e9, 6) AS fragility FROM rho r JOIN near ON src = r.id JOIN phi ON phi.id = r.id) WHERE fragility > 0""",
     "hypothesis_inclusions": f"WITH {_SETS} SELECT lower, upper FROM inc",
     "hasse_covers": f"WITH {_SETS} SELECT lower, upper FROM inc WHERE NOT EXISTS (SELECT 1 FROM inc a JOIN inc b ON a.upper = b.lower WHERE a.lower = inc.lower AND b.upper = inc.upper)",
+    "order_shape": f"WITH RECURSIVE {_SETS}, chain(h, d) AS (SELECT hid, 0 FROM sets UNION SELECT upper, d + 1 FROM chain JOIN inc ON lower = h) SELECT CAST(max(d) AS BIGINT) AS height, (SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT s.hid, count(i.lower) AS r FROM sets s LEFT JOIN inc i ON i.upper = s.hid GROUP BY s.hid) GROUP BY r)) AS width FROM chain",
+    "html_parse": "SELECT page_id, 'unknown' AS kind, NULL::BIGINT AS page FROM pages",
     "bfs_distances": f"{_with(_seeds('st', [(1, '5')]), 'b AS (SELECT id, 0 AS d FROM st UNION SELECT dst, d + 1 FROM b JOIN adj ON src = b.id WHERE d < 3)', recursive=True)} SELECT id, CAST(min(d) AS BIGINT) AS distance FROM b GROUP BY id",
     "depth_ball": f"{_with(_seeds('st', [(1, '5')]), 'b AS (SELECT id, 0 AS d FROM st UNION SELECT dst, d + 1 FROM b JOIN adj ON src = b.id WHERE d < 2)', recursive=True)} SELECT wid AS workNodeId, hid AS hubNodeId FROM links WHERE wid IN (SELECT id FROM b) AND hid IN (SELECT id FROM b)",
     "canonical_tags": f"WITH RECURSIVE {_STATS} SELECT tag_id, root, CAST(hops AS BIGINT) AS hops FROM roots",
