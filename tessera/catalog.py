@@ -201,9 +201,10 @@ def conductance_degree(spark, sf):
 
 @query
 def threshold_schedule(spark, sf):
-    _, _, phi = _phi(spark, sf)
-    rounded = phi.select("id", F.round("phi", 12).alias("phi"))
-    return T.thresholds(rounded, 8).select(F.col("level").cast("long").alias("level"), r8(F.col("value") * 1e3, 8).alias("value"))
+    """Eight levels of the works' lengths as potential."""
+    works = load_graph(spark, sf).nodes.filter(F.col("kind") == WORK)
+    phi = T.potentials(works.select("id", F.col("wordCount").cast("double").alias("relevance"), F.lit(1.0).alias("authority")))
+    return T.thresholds(materialize(phi, "phi"), 8).select(F.col("level").cast("long").alias("level"), r8("value").alias("value"))
 
 
 @query

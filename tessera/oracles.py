@@ -117,7 +117,7 @@ ORACLES: dict[str, str] = {
     "rank_works_suppressed": f"""{_with(_POS, _NEG)}, c AS (SELECT id, 'Work ' || key AS title, wc, k % 3 = 0 AS suppressed FROM nodes WHERE kind = 0 AND id NOT IN (SELECT id FROM pos UNION SELECT id FROM neg)),
       r AS (SELECT *, row_number() OVER (ORDER BY wc DESC, id) AS rank, coalesce(sum(CASE WHEN suppressed THEN 0 ELSE 1 END) OVER (ORDER BY wc DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM c) SELECT rank, id, title, wc AS wordCount, suppressed FROM r WHERE seen < 25""",
     "conductance_degree": f"{_with(_PHI)} SELECT src AS id, round(sum(x.phi * y.phi) * 1e6, 6) AS degree_c FROM adj JOIN phi x ON x.id = src JOIN phi y ON y.id = dst GROUP BY src",
-    "threshold_schedule": f"{_with(_PHI)}, d AS (SELECT phi, row_number() OVER (ORDER BY phi DESC) - 1 AS n, count(*) OVER () AS m FROM (SELECT DISTINCT round(phi, 12) AS phi FROM phi) WHERE phi > 0) SELECT l AS level, round(phi * 1e3, 8) AS value FROM d JOIN (SELECT unnest(range(8)) AS l) ON n = CAST(floor(l * (m - 1) / 7.0 + 0.5) AS BIGINT)",
+    "threshold_schedule": "WITH d AS (SELECT phi, row_number() OVER (ORDER BY phi DESC) - 1 AS n, count(*) OVER () AS m FROM (SELECT DISTINCT sqrt(floor(o_totalprice / 10)) AS phi FROM orders) WHERE phi > 0) SELECT l AS level, round(phi, 8) AS value FROM d JOIN (SELECT unnest(range(8)) AS l) ON n = CAST(floor(l * (m - 1) / 7.0 + 0.5) AS BIGINT)",
     "fragility_scores": f"""{_with(_PHI)}, mem AS (SELECT id FROM phi WHERE phi >= 1.0 / (SELECT count(*) FROM phi)), bnd AS (SELECT DISTINCT src AS id FROM adj WHERE src IN (SELECT id FROM mem) AND dst NOT IN (SELECT id FROM mem)),
       c AS (SELECT src, dst, x.phi * y.phi AS c FROM adj JOIN phi x ON x.id = src JOIN phi y ON y.id = dst), near AS (SELECT src, sum(CASE WHEN dst IN (SELECT id FROM bnd) THEN c ELSE 0 END) AS near, sum(c) AS deg FROM c GROUP BY src)
       SELECT * FROM (SELECT r.id, round(greatest(0, 1 - rho) * near * (phi * (1 + deg)) * 1e9, 6) AS fragility FROM rho r JOIN near ON src = r.id JOIN phi ON phi.id = r.id) WHERE fragility > 0""",
