@@ -107,7 +107,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = 2, text:
 
         enc, seen = encoder(tokenizer), set()
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=8 << 20):
                 ids, offs = enc.encode(part.column(1))
                 n = np.diff(offs) + 1
                 ids = np.insert(ids, offs[1:], np.uint32(end))

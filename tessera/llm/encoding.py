@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from .common import utf8
 
 #: Words whose parts a worker remembers; the memory is emptied beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Bytes of pieces given to the tokenizer at once.
 BATCH_BYTES = 1 << 18
 _loaded: dict[str, "PieceEncoder"] = {}
@@ -59,7 +59,7 @@ class PieceEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode words that are not known, by the parts between which every pre-token ends."""
-        split = [_SAFE.split(w) for w in new]
+        split = [[w] if w[1:].isalpha() else _SAFE.split(w) for w in new]  # letters alone are one part
         part = self.part
         fresh = [x for x in dict.fromkeys(chain.from_iterable(split)) if x not in part]
         if fresh:

@@ -28,7 +28,7 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
 
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in pieces(batch, "__text"):
+            for part in pieces(batch, "__text", 8 << 20):
                 texts = part.column(part.num_columns - 1)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(enc.counts(texts), pa.int64())], names=[*keep, "n_tokens"])
 
