@@ -102,8 +102,10 @@ def _measure(docs: DataFrame, bench: DataFrame) -> DataFrame:
     hits = F.when(F.col("__items").isNotNull(), F.filter(F.transform("__items", lambda x: F.struct(x["item"].alias("item"), starts(x, F.col("__w"), F.col("__h")).alias("starts"))), lambda s: F.size(s["starts"]) > 0))
     rows = rows.withColumn("__hits", hits)
     at = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("__hits", lambda s: s["starts"])), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    return rows.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.size("__w").cast("long").alias("__n_words"),
-        F.coalesce(F.when(F.col("__hits").isNotNull(), F.size(at)), F.lit(0)).cast("long").alias("__n_hit"),
-        F.coalesce(F.array_distinct(F.transform("__hits", lambda s: s["item"])), F.array().cast("array<string>")).alias("__found"),
-    )
+    found = F.coalesce(F.array_distinct(F.transform("__hits", lambda s: s["item"])), F.array().cast("array<string>"))
+    n_hit = F.coalesce(F.when(F.col("__hits").isNotNull(), F.size(at)), F.lit(0)).cast("long")
+    # A caller's filter on these would be pushed below and take the measure apart: words would be
+    # split again for every k-gram. What a generator makes (here one row of one) stays in its place.
+    own = F.explode(F.array(F.struct(F.size("__w").cast("long").alias("__n_words"), n_hit.alias("__n_hit"), found.alias("__found")))).alias("__m")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*columns, own).select(*columns, "__m.__n_words", "__m.__n_hit", "__m.__found")
