@@ -23,14 +23,13 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles link, that of the least doc_id."""
-    groups = settle(ngram_join.near_groups(docs), "groups")
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"))
-    one = kept.distinct()
-    left = docs.join(one, docs["doc_id"].eqNullSafe(one["__kept"]), "left_semi").select(*COLUMNS)
-    if kept.groupBy("__kept").count().filter("count > 1").limit(1).count():  # a doc_id that repeats
-        left = left.dropDuplicates(["doc_id"])
-    return left
+    """Of documents that five-word shingles link, that of the least doc_id (null last), then of the least text hash; all that are linked with nothing."""
+    rows = settle(docs.select(*COLUMNS, F.xxhash64("text").alias("__hash"), F.monotonically_increasing_id().alias("__row")), "rows")
+    groups = settle(ngram_join.linked_rows(rows, keep=("__hash", "__row")), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__hash", "__row"))["__row"]
+    linked = groups.filter("label is not null").groupBy("label").agg(first.alias("__kept")).select("__kept")
+    kept = linked.union(groups.filter("label is null").select("__row"))
+    return rows.join(kept, rows["__row"] == kept["__kept"], "left_semi").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,15 +65,16 @@ def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.nd
         yield part, shingle_sets(*utf8(part.column(part.schema.get_field_index("text"))))
 
 
-def class_sizes(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_shingles, cls (null without words)."""
+def class_sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_shingles, cls (null without words), and the long columns `keep`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets_of(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "cls"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), *part.columns[2:]], names=["doc_id", "n_shingles", "cls", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "cls", *keep))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(run, schema)
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -375,9 +376,13 @@ def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     is its own doc_id. Rows of equal texts are one class, so repeats cost no pairs.
     A null doc_id stays null in the result but its row takes part. Extra columns are ignored.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("low"))
-    base = settle(class_sizes(docs), "sets")
+    return linked_rows(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """near_groups with `label`, which tells groups apart whatever their doc_ids (null without words), and the long columns `keep`."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("low"))
+    base = settle(class_sizes(docs, keep), "sets")
     total = base.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     known = frequent_shingles(docs)
     holders = base.filter("cls is not null").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))).alias("low"))
@@ -402,6 +407,6 @@ def near_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = low.join(labels, low["cls"] == labels["node"], "left").select("cls", "low", F.coalesce("label", "cls").alias("label"))
     named = settle(named, "classes")
     least = named.groupBy("label").agg(F.min("low").alias("component_id")).withColumnRenamed("label", "__l")
-    by_class = named.join(least, named["label"] == least["__l"]).select(F.col("cls").alias("__c"), "component_id")
+    by_class = named.join(least, named["label"] == least["__l"]).select(F.col("cls").alias("__c"), "component_id", "label")
     joined = base.join(by_class, base["cls"] == by_class["__c"], "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "label", *keep)

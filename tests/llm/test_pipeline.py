@@ -51,3 +51,16 @@ def test_stages(spark, tmp_path):
     assert out == want
     assert sorted(map(tuple, P.run(spark, str(tmp_path)).collect())) == sorted(want)
     assert P.ORACLE_SQL is None
+
+
+def test_null_and_repeated_ids_keep_one_row_of_each_group(spark):
+    rng = random.Random(12)
+    say = lambda: " ".join(rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(40))
+    a, b, c, d, e, f = (say() for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (None, c), (None, c + " again"), (5, d), (5, e), (5, e), (6, e), (7, f), (None, f), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for x in (docs, docs.repartition(3)):
+        got = [(r["doc_id"], r["text"]) for r in P.keep_one_of_each_group(spark, x, "").collect()]
+        third = [t for i, t in got if i is None and t.startswith(c)]
+        assert len(third) == 1
+        assert sorted(got, key=str) == sorted([(None, a), (None, b), (None, third[0]), (5, d), (5, e), (7, f), (8, ""), (8, "")], key=str)
