@@ -63,7 +63,7 @@ def op6_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm_scoring as L
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), L.held_out(F.col("doc_id")).alias("held_out"))
-    return L.score(docs, L.train(docs.filter("not held_out")))
+    return L.score(docs, L.train(docs, ~F.col("held_out")))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

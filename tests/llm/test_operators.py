@@ -307,3 +307,24 @@ def test_lm_scores(spark, corpus):
         assert r["base_score"] == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in [*w, None])) and r["score"] < 0
     rows = [got[i] for i in range(len(texts)) if held[i]]
     assert sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows) > -4
+
+
+def test_lm_tree_in_parts_is_the_whole_tree(spark, monkeypatch):
+    """Contexts stay 5 bytes whatever the number of strings, and dealing them changes no score."""
+    rng = random.Random(9)
+    texts = [*ODD, *("".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(400))) for _ in range(150)), "ßéñ " * 9]
+    d = docs_of(spark, texts).withColumn("held_out", lm_scoring.held_out(F.col("doc_id")))
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+
+    def codes(own):
+        raw = [(t or "").encode() for t in own]
+        return ctw.codes(*ctw.plain(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)))
+
+    tree = ctw.ContextTree(*ctw.tally(codes([t for t, h in zip(texts, held) if not h])[0], 5), 5)
+    want = tree.score(*codes(texts))
+    monkeypatch.setattr(lm_scoring, "STRINGS_A_TASK", 1000)
+    monkeypatch.setattr(lm_scoring, "STRINGS", 1000, raising=False)
+    for model in (lm_scoring.train(d.filter("not held_out")), lm_scoring.train(d, ~F.col("held_out"))):
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score(d, model).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(list(want), rel=1e-4, abs=1e-4)
+    assert lm_scoring.score(d.limit(0), lm_scoring.train(d.limit(0))).count() == 0
