@@ -29,6 +29,12 @@ SMOOTH, SHRINK = 0.5, 10.0
 SATURATE = 200.0
 #: A text is rejected if no language has this share of the posterior, or it has no letters.
 LEAST = 0.4
+#: It is also rejected if its mean log likelihood in its language lies below that of labelled
+#: texts by more than FAR deviations between texts and NEAR of a mean of so few trigrams
+#: together; a trigram counts as 1 / OVERLAP of an independent one.
+FAR, NEAR, OVERLAP = 18.0, 4.0, 3.0
+#: Least deviation between texts, for labelled texts that are all alike.
+LEAST_BETWEEN = 0.1
 
 # Second-level labels under which registered names are one label longer.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -36,10 +42,15 @@ SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 
 @dataclass
 class TextModel:
-    """Languages in order, and log P(trigram slot | language) as [slot, language]."""
+    """Languages in order, and log P(trigram slot | language) as [slot, language].
+
+    usual: for each language the mean of its labelled texts' log likelihoods a trigram,
+    the variance between texts, and that inside them.
+    """
 
     languages: list[str]
     table: np.ndarray
+    usual: np.ndarray
 
 
 def _slots(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,16 +101,46 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", most: int
     total = np.full((len(languages), SLOTS), SMOOTH)
     total[counts["lang"].to_numpy(), counts["slot"].to_numpy()] += counts["n"].to_numpy()
     table = np.log(total / total.sum(1, keepdims=True))
-    return TextModel(languages, np.ascontiguousarray(table.T.astype(np.float32)))
+    return TextModel(languages, np.ascontiguousarray(table.T.astype(np.float32)), _usual(sample, languages, total))
+
+
+def _usual(sample: DataFrame, languages: list[str], total: np.ndarray) -> np.ndarray:
+    """TextModel.usual from the sample, each text by the counts of the others."""
+    told = sample.sparkSession.sparkContext.broadcast(total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(languages), 5))  # texts, mean, its square, variance inside, that over the text's size
+        all_n = told.value.sum(1)
+        for batch in batches:
+            for part in pieces(batch):
+                slot, at = _slots(*utf8(part.column(0)))
+                n = np.diff(at)
+                text = np.repeat(np.arange(len(n)), n)
+                which = np.array([languages.index(x) for x in part.column(1).to_pylist()], np.int64)
+                _, where, own = np.unique(text * SLOTS + slot, return_inverse=True, return_counts=True)
+                ll = np.log(told.value[which[text], slot] - own[where]) - np.log(all_n[which] - n)[text]
+                full = np.flatnonzero(n)
+                mean = np.bincount(text, ll, len(n))[full] / n[full]
+                inside = np.maximum(np.bincount(text, ll**2, len(n))[full] / n[full] - mean**2, 0)
+                for j, v in enumerate((np.ones(len(full)), mean, mean**2, inside, inside * OVERLAP / n[full])):
+                    sums[:, j] += np.bincount(which[full], v, len(languages))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages), dtype=np.int32)), *[pa.array(c.copy()) for c in sums.T]], names=["lang", "s0", "s1", "s2", "s3", "s4"])
+
+    got = sample.mapInArrow(run, "lang int, s0 double, s1 double, s2 double, s3 double, s4 double").groupBy("lang").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(5)]).toArrow()
+    sums = np.zeros((len(languages), 5))
+    sums[got["lang"].to_numpy()] = np.stack([got[f"s{j}"].to_numpy() for j in range(5)], 1).reshape(-1, 5)
+    sums /= np.maximum(sums[:, :1], 1)
+    between = np.maximum(sums[:, 2] - sums[:, 1] ** 2 - sums[:, 4], LEAST_BETWEEN**2)
+    return np.stack([sums[:, 1], between, sums[:, 3]], 1)
 
 
 def with_likelihoods(df: DataFrame, model: TextModel, text: str, out: str = "__ll") -> DataFrame:
-    """df with `out`: the tempered log likelihood of each language, null for a text without letters."""
+    """df with `out`, the tempered log likelihood of each language, and `{out}_fit`, what its mean lies above the least that labelled texts allow; null for a text without letters."""
     told = df.sparkSession.sparkContext.broadcast(model)
     ordered = df.withColumn("__text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = told.value.table
+        table, (usual, between, inside) = told.value.table, told.value.usual.T
         for batch in batches:
             for part in pieces(batch, "__text", 2 << 20):
                 slot, at = _slots(*utf8(part.column(part.num_columns - 1)))
@@ -108,11 +149,14 @@ def with_likelihoods(df: DataFrame, model: TextModel, text: str, out: str = "__l
                 full = np.flatnonzero(n)
                 for k in range(table.shape[1]) if len(full) else ():
                     total[full, k] = np.add.reduceat(table[:, k][slot].astype(np.float64), at[:-1][full])
+                size = np.maximum(n, 1)[:, None]
+                fit = total / size - usual + FAR * np.sqrt(between) + NEAR * np.sqrt(inside * OVERLAP / size)
                 total *= (np.minimum(n, SATURATE) / np.maximum(n, 1))[:, None]
                 lists = [x if k else None for x, k in zip(total.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lists, pa.list_(pa.float64()))], names=[*part.schema.names[:-1], out])
+                fits = [x if k else None for x, k in zip(fit.tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x, pa.list_(pa.float64())) for x in (lists, fits)]], names=[*part.schema.names[:-1], out, f"{out}_fit"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {out} array<double>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {out} array<double>, {out}_fit array<double>"
     return ordered.mapInArrow(run, schema)
 
 
@@ -144,7 +188,8 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Colu
 
     Missing evidence (a null declared language, host or suffix) says nothing. A text
     without letters (null, empty, figures only) is decided by the other evidence but
-    never accepted. Repeated rows stay; columns of df named like a result are replaced.
+    never accepted, nor is one that its language's labelled texts make unlikely (another
+    language, random letters): that test does not depend on the other languages. Repeated rows stay; columns of df named like a result are replaced.
     A row's own text is taken out of its host's counts, so it is not counted twice.
     """
     langs, k = model.languages, len(model.languages)
@@ -210,5 +255,5 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Colu
     names = F.array(*[F.lit(x) for x in langs])
     full = full.withColumn("lang", F.element_at(names, F.array_position("__s", best).cast("int"))).withColumn("confidence", 1.0 / mass)
     full = full.withColumn("text_lang", F.when(F.col("__ll").isNotNull(), F.element_at(names, F.array_position("__ll", F.array_max("__ll")).cast("int"))))
-    full = full.withColumn("accepted", F.col("__ll").isNotNull() & (F.col("confidence") >= LEAST))
+    full = full.withColumn("accepted", F.col("__ll").isNotNull() & (F.col("confidence") >= LEAST) & (F.element_at("__ll_fit", F.array_position("__s", best).cast("int")) >= 0))
     return full.select(*[F.col(f"`{c}`") for c in held], *out)

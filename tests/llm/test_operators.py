@@ -328,3 +328,17 @@ def test_lm_tree_in_parts_is_the_whole_tree(spark, monkeypatch):
         got = {r["doc_id"]: r["score"] for r in lm_scoring.score(d, model).collect()}
         assert [got[i] for i in range(len(texts))] == pytest.approx(list(want), rel=1e-4, abs=1e-4)
     assert lm_scoring.score(d.limit(0), lm_scoring.train(d.limit(0))).count() == 0
+
+
+def test_texts_of_no_known_language_are_rejected(spark):
+    rng = random.Random(13)
+    lands = {"en": "the and with thing over house small never people water through again work year where".split(), "de": "der und nicht schon über haus klein wasser durch leute wieder arbeit jahr wohin immer".split()}
+    text = lambda k: " ".join(rng.choice(lands[k]) for _ in range(rng.randrange(5, 80)))
+    train = spark.createDataFrame([(text(k), k) for k in sorted(lands) for _ in range(100)], "text string, lang string")
+    clean = [text(k) for k in sorted(lands) for _ in range(50)] + ["The house."]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    foreign = ["Все люди рождаются свободными и равными в своём достоинстве и правах", "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "".join(rng.choice(letters + letters.upper() + "0123456789+/") for _ in range(300))]
+    foreign += [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(40)) for _ in range(5)]
+    d = spark.createDataFrame(list(enumerate([*clean, *foreign])), "doc_id long, text string")
+    got = {r["doc_id"]: r["accepted"] for r in language_id.identify(d, language_id.fit(train)).collect()}
+    assert [got[i] for i in range(len(clean) + len(foreign))] == [True] * len(clean) + [False] * len(foreign)
