@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,44 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have (names differ in more than case)."""
+    have = {c.lower() for c in df.columns}
+    out = f"__{name}"
+    while out.lower() in have:
+        out += "_"
+    return out
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a reused Python worker else keeps what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped, and gone when freed
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, whose worker gives freed memory back at its task's start and end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def utf8(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and where each value begins (n + 1 offsets); null is empty."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
     if array.null_count:
-        array = array.fill_null("")
-    array = array.cast(pa.large_string())
+        array = array.fill_null(b"" if pa.types.is_binary(array.type) else "")
+    array = array.cast(pa.large_binary() if pa.types.is_binary(array.type) else pa.large_string())
     offs = np.frombuffer(array.buffers()[1], np.int64, len(array) + 1, array.offset * 8) if len(array) else np.zeros(1, np.int64)
     data = np.frombuffer(array.buffers()[2] or b"", np.uint8)
     lo, hi = int(offs[0]), int(offs[-1])
