@@ -1,9 +1,9 @@
 """Token-ID output as a content-addressed store.
 
 Layout under one folder, all Parquet:
-  chunks/    hash (16 bytes, blake2b of the ids as little-endian 32-bit), n_ids, width (bytes an id takes here), ids
+  chunks/    hash (16 bytes, blake2b of the ids as little-endian 32-bit), n_ids, width (bytes an id takes here), ids; other columns are those of the writer's loose recipes
   recipes/   doc_id, uid, part, n_tokens, hashes (16 bytes a chunk), lengths (ids a chunk), root (Merkle root of the document); files and rows in ascending doc_id
-  manifest/  part, n_docs, root (Merkle root of the part's documents in order)
+  manifest/  level, place, n, root: at level 0 a part's documents in order, above it FAN places of the level below, up to one root
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, pieces, running_total, settle
+from .common import fresh_path, pieces, running_total, settle, tidy
 from .shingles import mix
 
 #: A cut falls after an id in about so many; a chunk holds MOST ids at most.
@@ -25,6 +25,11 @@ MEAN, MOST = 256, 4096
 #: Ids that the rolling hash sees.
 SPAN = 4
 HASH = 16
+#: Documents of a part of the recipes, on average; roots that one root of the next level covers; chunk addresses that a task remembers.
+PART_DOCS, FAN, SEEN = 50_000, 4096, 200_000
+_CHUNK = "hash binary, n_ids int, width int, ids binary"
+_BOTH = f"doc_id long, n_tokens long, hashes binary, lengths binary, root binary, {_CHUNK}"
+_RECIPE = "doc_id long, n_tokens long, hashes binary, lengths binary, root binary, part int, uid long"
 _PLACE = np.random.default_rng(77).integers(0, 2**64, SPAN, dtype=np.uint64) | np.uint64(1)
 _EMPTY = hashlib.blake2b(b"", digest_size=HASH).digest()
 
@@ -97,17 +102,20 @@ def shift_crc(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = 2, text: str = "text", key: str = "doc_id") -> None:
     """Encode every whole text, append `end`, and write chunks, recipes and manifest under path.
 
-    Null texts are empty and hold the end id alone; rows that repeat get recipes of
-    their own and share their chunks; a null key sorts first. Other columns are left out.
+    Null texts are empty and hold the end id alone; an empty table gives an empty store; a
+    very long text is encoded in blocks between safe cuts and its ids are held by one task;
+    rows that repeat get recipes of their own and share their chunks; a null key sorts
+    first, equal keys go by their roots. Other columns, whatever their names, are left out.
     """
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .encoding import encoder
 
         enc, seen = encoder(tokenizer), set()
         for batch in batches:
-            for part in pieces(batch, limit=8 << 20):
+            for part in pieces(batch, limit=1 << 20):
                 ids, offs = enc.encode(part.column(1))
                 n = np.diff(offs) + 1
                 ids = np.insert(ids, offs[1:], np.uint32(end))
@@ -127,66 +135,86 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = 2, text:
                         rows["n_ids"].append(b - a)
                         rows["width"].append(2 if small else 4)
                         rows["ids"].append(small[2 * a : 2 * b] if small else wide[4 * a : 4 * b])
-                if len(seen) > 500_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 lengths = (ends - begins).astype(np.int32)
                 at = at + 1
                 at[0] = 0
                 doc = [(b"".join(names[a:b]), lengths[a:b].astype("<i4").tobytes(), merkle(names[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 k, m = part.num_rows, len(rows["hash"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * k + [1] * m, pa.int32()), pa.array(part.column(0).to_pylist() + [None] * m, pa.int64()), pa.array([*n.tolist(), *rows["n_ids"]], pa.int64()),
-                     pa.array([None] * k + rows["width"], pa.int32()), pa.array([x[0] for x in doc] + rows["hash"], pa.binary()), pa.array([x[1] for x in doc] + rows["ids"], pa.binary()), pa.array([x[2] for x in doc] + [None] * m, pa.binary())],
-                    names=["kind", "doc_id", "n", "width", "hash", "ids", "root"],
-                )
-
-    schema = "kind int, doc_id long, n long, width int, hash binary, ids binary, root binary"
-    both = slim.mapInArrow(encode, schema)
+                recipe = [(part.column(0).to_pylist(), pa.int64()), (n.tolist(), pa.int64()), *[([x[j] for x in doc], pa.binary()) for j in range(3)]]
+                chunk = [(rows["hash"], pa.binary()), (rows["n_ids"], pa.int32()), (rows["width"], pa.int32()), (rows["ids"], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[pa.array(v + [None] * m, t) for v, t in recipe], *[pa.array([None] * k + v, t) for v, t in chunk]], names=[x.split(" ")[0] for x in _BOTH.split(", ")])
 
+    @tidy
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Equal chunks meet in one partition; the first stays."""
         seen: set[bytes] = set()
         for batch in batches:
-            kind, hashes = batch.column(0).to_pylist(), batch.column(4).to_pylist()
-            keep = [k == 0 or h not in seen and not seen.add(h) for k, h in zip(kind, hashes)]
+            keep = [h is None or h not in seen and not seen.add(h) for h in batch.column(5).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    # A recipe's place does not matter here, a chunk's is its hash: one exchange for both.
-    dealt = both.repartition(F.xxhash64("hash")).mapInArrow(once, schema)
-    dealt.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/staged")
+    # One exchange and one file for both, as columns of their own: a chunk goes by its address, a
+    # recipe by its document too, so copies of one text do not meet.
+    dealt = slim.mapInArrow(encode, _BOTH).repartition(F.xxhash64("hash", "doc_id", "hashes")).mapInArrow(once, _BOTH)
+    dealt.write.option("compression", "zstd").parquet(f"{path}/chunks")
     spark = docs.sparkSession
-    staged = spark.read.schema(schema).parquet(f"{path}/staged")
+    loose = spark.read.schema(_BOTH).parquet(f"{path}/chunks").filter("root is not null").select("doc_id", "n_tokens", "hashes", "lengths", "root")
     recipes = (
-        staged.filter("kind = 0").select("doc_id", F.col("n").alias("n_tokens"), F.col("hash").alias("hashes"), F.col("ids").alias("lengths"), "root")
-        .repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "root").withColumn("uid", F.monotonically_increasing_id())
+        loose.repartitionByRange(max(1, -(-loose.count() // PART_DOCS)), "doc_id", "root").withColumn("part", F.spark_partition_id())
+        .sortWithinPartitions("doc_id", "root").withColumn("uid", F.monotonically_increasing_id())
     )
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    written = spark.read.schema(_RECIPE).parquet(f"{path}/recipes").select(F.col("part").cast("long").alias("place"), F.col("uid").alias("at"), "root")
+    level, height = settle(_roots(written), "roots"), 0
+    level.withColumn("level", F.lit(0)).write.parquet(f"{path}/manifest")
+    while level.limit(2).count() > 1:
+        height += 1
+        level = settle(_roots(level.select(F.floor(F.col("place") / FAN).alias("place"), F.col("place").alias("at"), "root")), "roots")
+        level.withColumn("level", F.lit(height)).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _roots(rows: DataFrame) -> DataFrame:
+    """(place, at, root) -> place, n, root: the Merkle root of each place's roots in order of `at`.
+
+    A place holds about PART_DOCS roots, or FAN of the level below.
+    """
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+        out: list[list] = [[], [], []]
+
+        def close() -> None:
+            if held:
+                for col, v in zip(out, (place, len(held), merkle(held))):
+                    col.append(v)
 
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            for part, uid, root in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                held.setdefault(part, []).append((uid, root))
-        if held:
-            parts = sorted(held)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([len(held[p]) for p in parts], pa.int64()), pa.array([merkle([r for _, r in sorted(held[p])]) for p in parts], pa.binary())], names=["part", "n_docs", "root"])
+            for p, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != place:
+                    close()
+                    place, held = p, []
+                held.append(root)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["place", "n", "root"])
 
-    written = spark.read.parquet(f"{path}/recipes").select("part", "uid", "root")
-    written.repartition("part").mapInArrow(roots, "part int, n_docs long, root binary").write.parquet(f"{path}/manifest")
+    return rows.repartition("place").sortWithinPartitions("place", "at").select("place", "root").mapInArrow(run, "place long, n long, root binary")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("kind int, n long, width int, hash binary, ids binary").parquet(f"{path}/staged").filter("kind = 1").select("hash", F.col("n").cast("int").alias("n_ids"), "width", "ids")
+    return spark.read.schema(_CHUNK).parquet(f"{path}/chunks").filter("hash is not null")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the store: doc_id, start, n_tokens, ids_crc32, all from its files.
+    """Per document of the store: doc_id, start, n_tokens, ids_crc32, all from its files; none for an empty store.
 
-    Every chunk is hashed again and must match its address; every document's and every
-    part's Merkle root must match recipe and manifest; else the read fails. A text's
-    CRC is put together from those of its chunks, so ids are not moved.
+    Every chunk is hashed again and must match its address; every document's, part's and
+    the whole store's Merkle roots must match recipes and manifest; else the read fails.
+    A text's CRC is put together from those of its chunks, so ids are not moved.
     """
 
+    @tidy
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, n, width, ids = (batch.column(i).to_pylist() for i in range(4))
@@ -199,8 +227,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], names=["hash", "n_ids", "crc"])
 
     chunk = read_chunks(spark, path).mapInArrow(facts, "hash binary, n_ids int, crc long")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
 
+    @tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, hashes, lengths, root = (batch.column(i).to_pylist() for i in range(4))
@@ -220,6 +249,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     links = recipes.select("uid", "hashes", "lengths", "root").mapInArrow(spread, "uid long, h binary, n int, after long")
     joined = links.join(chunk, links["h"] == chunk["hash"], "left").select("uid", "n", "after", "n_ids", "crc")
 
+    @tidy
     def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.column(3).null_count or not batch.column(1).equals(batch.column(3)):
@@ -229,27 +259,31 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
     per = joined.mapInArrow(shifted, "uid long, n int, crc long").groupBy("uid").agg(F.sum("n").alias("__n"), F.expr("bit_xor(crc)").alias("ids_crc32"))
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, list] = {}
-        for batch in batches:
-            for part, uid, root, n, told in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                rows.setdefault(part, [n, told, []])[2].append((uid, root))
-        for part, (n, told, have) in rows.items():
-            if len(have) != n or merkle([r for _, r in sorted(have)]) != told:
-                raise ValueError(f"part {part} does not match the manifest")
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32())], names=["good"])
-
-    manifest = spark.read.parquet(f"{path}/manifest").select(F.col("part").alias("p"), "n_docs", F.col("root").alias("told"))
-    good = settle(recipes.join(manifest, recipes["part"] == manifest["p"]).select("part", "uid", "root", "n_docs", "told").repartition("part").mapInArrow(checked, "good int"), "good")
-    if good.count() != spark.read.parquet(f"{path}/manifest").count():
-        raise ValueError("the manifest names parts that are missing")
+    _check_manifest(spark, path, recipes)
     heads = running_total(recipes.select("doc_id", "uid", "part", "n_tokens"), [], F.col("part"), [F.col("uid")], "n_tokens", "start")
-    return heads.join(per, "uid").filter(F.col("__n") == F.col("n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    whole = F.when(F.col("__n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe's chunks do not add up to its length")).cast("long"))
+    return heads.join(per, "uid", "left").select("doc_id", "start", whole.alias("n_tokens"), "ids_crc32")
+
+
+def _check_manifest(spark: SparkSession, path: str, recipes: DataFrame) -> None:
+    """Fail unless every level of the manifest is made of the one below, the lowest of the recipes, and the highest is one root."""
+    told = spark.read.schema("place long, n long, root binary, level int").parquet(f"{path}/manifest")
+    below = recipes.select(F.col("part").cast("long").alias("place"), F.col("uid").alias("at"), "root")
+    top = told.agg(F.max("level").alias("top"), F.max_by(F.col("place"), "level").alias("place")).first()
+    for height in range((top["top"] if top["top"] is not None else -1) + 1):
+        level = told.filter(F.col("level") == height)
+        made = _roots(below).select(F.col("place").alias("p"), F.col("n").alias("m"), F.col("root").alias("r"))
+        same = (F.col("place") == F.col("p")) & (F.col("n") == F.col("m")) & (F.col("root") == F.col("r"))
+        if level.join(made, same, "full_outer").filter("p is null or place is null").limit(1).count():
+            raise ValueError(f"level {height} of the manifest does not match what lies below")
+        below = level.select(F.floor(F.col("place") / FAN).alias("place"), F.col("place").alias("at"), "root")
+    if (top["top"] is None and recipes.limit(1).count()) or (top["top"] is not None and below.limit(2).count() != 1):
+        raise ValueError("the manifest has no one root")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ids (array of int): whole documents put together again."""
-    recipes, chunk = spark.read.parquet(f"{path}/recipes"), read_chunks(spark, path)
+    recipes, chunk = spark.read.schema(_RECIPE).parquet(f"{path}/recipes"), read_chunks(spark, path)
     names = recipes.select("doc_id", "uid", F.posexplode(F.expr("transform(sequence(0, cast(octet_length(hashes) / 16 as int) - 1), i -> substring(hashes, i * 16 + 1, 16))")).alias("seq", "h"))
     rows = names.join(chunk, names["h"] == chunk["hash"]).select("doc_id", "uid", "seq", "width", "ids")
 
