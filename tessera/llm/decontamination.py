@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Words of a k-gram, and words of a shared span that is always found.
 GRAM, SPAN = 5, 10
-#: Benchmark rows up to which their fingerprints are broadcast; beyond, both sides are shuffled.
-SMALL = 200_000
+#: Words of all items together up to which their fingerprints and windows (some 80 bytes a word) are
+#: broadcast, and rows of (document, k-gram) that met up to which they are (60 bytes each); beyond, both sides are shuffled.
+SMALL, MEETING = 400_000, 50_000
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,68 +47,79 @@ def find_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """docs (doc_id, text) and bench (item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     An item's windows are its runs of SPAN words, or the whole of a shorter item. A
-    document word inside any occurrence of a window is hit. Any shared run of SPAN
-    words has a fingerprint on both sides, so a document that shares none is clean;
-    for others, every meeting k-gram gives an offset at which item and document are
-    compared word by word and the hit is extended. Null or wordless texts have no
-    words and match nothing; repeated item_ids count once; rows of docs repeat as given.
+    document word inside any occurrence of a window is hit. Null or wordless texts have no
+    words and match nothing; repeated item_ids count once, a null one is left out; rows of
+    docs repeat as given, also with null or repeated doc_ids; very long texts are read
+    whole; without benchmark all are clean. Other columns are left out.
     """
-    return _measure(docs.select("doc_id", "text"), bench).select(
-        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__found").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("__found")), 256).alias("items_sha256"),
-        (F.col("__n_hit") > 0).alias("contaminated"),
+    rows = docs.select("doc_id", *_identity("doc_id"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    found = _hits(docs.select("doc_id", "text"), bench).select(*[F.col(c).alias(f"r_{c}") for c in _KEY], "n_hit", "items")
+    out = rows.join(found, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in _KEY], "left")
+    return out.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.concat_ws(",", F.array_sort("items")), F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, most: float = 0.0) -> DataFrame:
-    """The rows of docs of whose words at most the share `most` is hit, with the columns they have."""
-    return _measure(docs, bench).filter(F.col("__n_hit") <= F.lit(most) * F.col("__n_words")).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _measure(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """docs with __n_words, __n_hit and __found (the items that occur)."""
-    items = bench.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("iw")).filter((F.size("iw") > 0) & F.col("item").isNotNull()).distinct()
-    sizes = items.agg(F.count("*").alias("n"), F.collect_set(F.when(F.size("iw") < SPAN, F.size("iw")))).first()  # SPAN - 1 lengths at most
-    short = sorted(sizes[1])
-    few = sizes["n"] <= SMALL
-    near = F.broadcast if few else lambda df: df
-    whole = [F.when(F.size("iw") == n, F.array(F.xxhash64("iw"))) for n in short]
-    own = F.coalesce(*whole, let(grams(F.col("iw"), GRAM), lambda h: winnow(h, SPAN - GRAM + 1)))
-    marks = items.select("item", F.explode(own).alias("mark"))
-
-    found = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(fingerprint(F.col("w"), short)).alias("mark"))
-    if few:
-        met = found.join(F.broadcast(marks), "mark").select("doc_id", "item").distinct()
-    else:
-        met = found.join(marks, "mark").select("doc_id", "item").distinct()
-    by_doc = met.join(near(items), "item").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("item", "iw", grams(F.col("iw"), GRAM).alias("ih"))).alias("__items"))
-
-    rows = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["__doc"]), "left").drop("__doc").withColumn("__w", words(F.col("text")))
-    rows = rows.withColumn("__h", F.when(F.col("__items").isNotNull(), grams(F.col("__w"), GRAM)))
-
-    def starts(item: Column, w: Column, h: Column) -> Column:
-        """Where windows of the item occur, as structs (at, n)."""
-        iw, ih = item["iw"], item["ih"]
-        n = F.least(F.size(iw), F.lit(SPAN))
-        # Documents and items meet at k-grams; each meeting is an offset of one against the other.
-        meet = F.filter(F.sequence(F.lit(1), F.size(h)), lambda p: F.array_contains(ih, F.element_at(h, p)))
-        pairs = F.transform(meet, lambda p: F.transform(F.filter(F.sequence(F.lit(1), F.size(ih)), lambda q: F.element_at(ih, q) == F.element_at(h, p)), lambda q: p - q))
-        tiny = F.transform(F.filter(F.sequence(F.lit(1), F.size(w) - F.size(iw) + 1), lambda p: F.slice(w, p, F.size(iw)) == iw), lambda p: p - 1)
-        none = F.array().cast("array<int>")
-        offsets = F.when(F.size(iw) >= GRAM, F.when(F.size(h) > 0, F.array_distinct(F.flatten(pairs))).otherwise(none)).when(F.size(w) >= F.size(iw), tiny).otherwise(none)
-        hit = lambda o: F.transform(
-            F.filter(F.sequence(F.lit(1), F.size(iw) - n + 1), lambda j: (j + o >= 1) & (j + o + n - 1 <= F.size(w)) & (F.slice(w, F.greatest(j + o, F.lit(1)), n) == F.slice(iw, j, n))),
-            lambda j: F.struct((j + o).alias("at"), n.alias("n")),
-        )
-        return F.flatten(F.transform(offsets, hit))
-
-    hits = F.when(F.col("__items").isNotNull(), F.filter(F.transform("__items", lambda x: F.struct(x["item"].alias("item"), starts(x, F.col("__w"), F.col("__h")).alias("starts"))), lambda s: F.size(s["starts"]) > 0))
-    rows = rows.withColumn("__hits", hits)
-    at = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("__hits", lambda s: s["starts"])), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    found = F.coalesce(F.array_distinct(F.transform("__hits", lambda s: s["item"])), F.array().cast("array<string>"))
-    n_hit = F.coalesce(F.when(F.col("__hits").isNotNull(), F.size(at)), F.lit(0)).cast("long")
-    # A caller's filter on these would be pushed below and take the measure apart: words would be
-    # split again for every k-gram. What a generator makes (here one row of one) stays in its place.
-    own = F.explode(F.array(F.struct(F.size("__w").cast("long").alias("__n_words"), n_hit.alias("__n_hit"), found.alias("__found")))).alias("__m")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*columns, own).select(*columns, "__m.__n_words", "__m.__n_hit", "__m.__found")
+    """The rows of docs of whose words at most the share `most` is hit, with the columns they have, whatever their names."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_identity("doc_id"), F.size(words(F.col("text"))).alias("n_words") if most else F.lit(0).alias("n_words"))
+    dirty = _hits(docs.select("doc_id", "text"), bench).select(*[F.col(c).alias(f"r_{c}") for c in _KEY], "n_hit")
+    same = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in _KEY]
+    kept = held.join(dirty, [*same, F.col("n_hit") > F.lit(most) * F.col("n_words")], "left_anti")
+    return kept.select("row.*")
+
+
+_KEY = ("id", "h1", "h2")
+
+
+def _identity(doc_id: str) -> list[Column]:
+    """id, h1, h2: what tells a row apart: its doc_id and 128 bits of its text, so null and repeated doc_ids do no harm."""
+    return [F.col(doc_id).cast("string").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+
+
+def _hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """(id, h1, h2), n_hit and items (those that occur) of the documents that hold a window of an item.
+
+    Documents and items meet at winnowed k-grams: any shared run of SPAN words has one
+    with an equal fingerprint on both sides. Each meeting place is extended to the windows
+    that hold it, and those are compared with the items' own, words by words. So the rows
+    made are as many as the words near meetings, whatever the number of items that share
+    a k-gram; every step is a join or a sum by key.
+    """
+    w = F.col("w")
+    items = bench.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter((F.size("w") > 0) & F.col("item").isNotNull()).distinct()
+    size = items.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("n"), F.collect_set(F.when(F.size("w") < SPAN, F.size("w"))).alias("short")).first()  # SPAN - 1 lengths at most
+    short = sorted(size["short"])
+    near = F.broadcast if size["n"] <= SMALL else lambda df: df
+    whole = [F.when(F.size("w") == n, F.array(F.xxhash64("w"))) for n in short]
+    marks = near(items.select(F.explode(F.coalesce(*whole, let(grams(w, GRAM), lambda h: winnow(h, SPAN - GRAM + 1)))).alias("mark")).distinct())
+    n = F.least(F.size("w"), F.lit(SPAN))
+    windows = items.select("item", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).alias("window")).distinct()
+    windows = near(windows.select("item", F.col("n").alias("i_n"), F.col("window").alias("i_window")))
+
+    keyed = docs.select(*_identity("doc_id"), "text")
+    seen = keyed.select(*_KEY, words(F.col("text")).alias("w")).select(*_KEY, F.explode(fingerprint(w, short)).alias("mark"))
+    met = settle(seen.join(marks, "mark").select(*_KEY, "mark").distinct(), "met")
+    # The texts of documents that met an item; then the places of the k-grams that met.
+    who = met.select(*[F.col(c).alias(f"m_{c}") for c in _KEY]).distinct()
+    who = F.broadcast(who) if met.count() <= MEETING else who
+    texts = keyed.join(who, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in _KEY], "left_semi").select(*_KEY, words(F.col("text")).alias("w"))
+    texts = settle(texts, "met_texts")
+    met = met.select(*[F.col(c).alias(f"m_{c}") for c in _KEY], F.col("mark").alias("m_mark"))
+    met = F.broadcast(met) if met.count() <= MEETING else met
+    hits = None
+    for k, n in ((GRAM, SPAN), *[(n, n) for n in short]):
+        at = texts.select(*_KEY, F.posexplode(grams(w, k)).alias("p", "mark"))
+        at = at.join(met, [*[F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in _KEY], F.col("mark") == F.col("m_mark")], "left_semi")
+        # The windows of n words that hold the k-gram begin up to n - k words before it.
+        first = at.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.greatest(F.col("p") + 1 - (n - k), F.lit(1)), F.col("p") + 1)))).alias("starts"))
+        first = first.select(*[F.col(c).alias(f"s_{c}") for c in _KEY], "starts")
+        tried = texts.join(first, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in _KEY]).select(*_KEY, "w", F.explode("starts").alias("at")).filter(F.col("at") + n - 1 <= F.size("w"))
+        tried = tried.select(*_KEY, "at", F.lit(n).alias("n"), F.array_join(F.slice(w, F.col("at"), n), " ").alias("window"))
+        hits = tried if hits is None else hits.unionByName(tried)
+    hits = settle(hits.join(windows, (F.col("n") == F.col("i_n")) & (F.col("window") == F.col("i_window"))).select(*_KEY, "at", "n", "item"), "hits")
+    covered = hits.select(*_KEY, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("word")).distinct().groupBy(*_KEY).agg(F.count("*").alias("n_hit"))
+    named = hits.select(*_KEY, "item").distinct().groupBy(*_KEY).agg(F.collect_list("item").alias("items"))
+    named = named.select(*[F.col(c).alias(f"n_{c}") for c in _KEY], "items")
+    return covered.join(named, [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in _KEY]).select(*_KEY, "n_hit", "items")
