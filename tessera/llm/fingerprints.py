@@ -6,18 +6,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES
+from .common import PIECE_BYTES, tidy
 from .shingles import mix, shingle_hashes
 
 BINS, BITS = 512, 4
 NONE = np.uint64(2**64 - 1)
-#: Rows between two bounds of the order by doc_id, and bounds at most.
-RUN_ROWS, MOST_RUNS = 4_000, 65_536
+#: Rows of a run, on average, rows that are drawn for each run to find its bounds, and runs at most (bounds of 16 bytes each).
+RUN_ROWS, DRAWN, MOST_RUNS = 2_000, 8, 1 << 20
 
 
 def _probes(bins: int) -> np.ndarray:
@@ -83,38 +82,63 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
+def _run_of(bounds: np.ndarray, k: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """How many bounds (rows of k, tie, ascending) are not above each pair."""
+    bk, bt = bounds
+    out, upto = np.searchsorted(bk, k, "left"), np.searchsorted(bk, k, "right")
+    for value in np.unique(k[upto > out]):  # a k that is a bound, as a null or repeated one may be more than once
+        rows, (lo, hi) = np.flatnonzero(k == value), (int(np.searchsorted(bk, value, side)) for side in ("left", "right"))
+        out[rows] = lo + np.searchsorted(bt[lo:hi], tie[rows], "right")
+    return out
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is that of the next doc_id, after the last the first. Null texts
-    are empty; null doc_ids come first; rows of equal doc_id go by the texts' SHA-256.
-    Rows are cut into runs by bounds of doc_id; the first row of each run is also sent
-    to the run before, so one exchange suffices and no run depends on another.
+    The next document is that of the next doc_id, after the last the first; a single one
+    is its own next, an empty table gives no rows. Null texts are empty; null doc_ids come
+    first; rows of equal doc_id go by a hash of their texts. Texts are read whole. Rows are
+    cut into runs by bounds of doc_id and hash, drawn by a hash of the rows; the first row
+    of each run is also sent to the run before, so one exchange suffices, no run depends
+    on another, and rows of one doc_id need not meet.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    keyed = slim.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("k"), F.col("text"))
-    runs = max(1, min(MOST_RUNS, -(-slim.count() // RUN_ROWS)))
-    bounds = np.array(sorted(set(keyed.select("k").stat.approxQuantile("k", [i / runs for i in range(1, runs)], 0.25 / runs) if runs > 1 else [])))
-
-    @F.pandas_udf("int")
-    def run_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, k.to_numpy().astype(np.float64), "right").astype(np.int32))
-
-    heads = {r["run"]: r["first"] for r in keyed.select(run_of("k").alias("run"), "k").groupBy("run").agg(F.min("k").alias("first")).collect()}  # a row for each run
-    order = sorted(heads)
-    before = {heads[r]: order[i - 1] for i, r in enumerate(order)}
-
-    @F.pandas_udf("array<int>")
-    def places(k: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, k.to_numpy().astype(np.float64), "right")
-        return pd.Series([[int(r), before[x]] if x in before else [int(r)] for r, x in zip(own, k)])
-
-    dealt = keyed.select("doc_id", "k", "text", F.posexplode(places("k")).alias("extra", "run"))
-    dealt = dealt.repartition(max(runs, 1), "run").withColumn("tie", F.sha2("text", 256)).sortWithinPartitions("run", "extra", "k", "tie").select("doc_id", "run", "extra", "text")
+    low = F.lit(-(2**63)).cast("long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), low).alias("k"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    total = keyed.count()
+    runs = max(1, min(MOST_RUNS, -(-total // RUN_ROWS)))
+    drawn = keyed.filter(F.pmod(F.xxhash64(F.lit(9), "k", "tie"), F.lit(1 << 40)) <= F.lit(min(1.0, DRAWN * runs / max(total, 1)) * (1 << 40))).select("k", "tie").toArrow() if runs > 1 else None
+    bounds = np.zeros((2, 0), np.int64)
+    if drawn is not None and drawn.num_rows:
+        pairs = np.stack([drawn["k"].to_numpy(), drawn["tie"].to_numpy()])
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+        bounds = np.unique(pairs[:, np.arange(1, runs) * pairs.shape[1] // runs], axis=1)
+
+    @F.arrow_udf("int")
+    def run_of(k: pa.Array, tie: pa.Array) -> pa.Array:
+        return pa.array(_run_of(bounds, k.to_numpy(), tie.to_numpy()).astype(np.int32))
+
+    first = keyed.select(run_of("k", "tie").alias("run"), F.struct("k", "tie").alias("pair")).groupBy("run").agg(F.min("pair").alias("pair")).select("run", "pair.k", "pair.tie").toArrow()  # a row for each run
+    order = np.argsort(first["run"].to_numpy())
+    numbers, heads = first["run"].to_numpy()[order], np.stack([first[c].to_numpy()[order] for c in ("k", "tie")])
+    before = np.roll(numbers, 1)
+
+    @F.arrow_udf("array<int>")
+    def places(k: pa.Array, tie: pa.Array) -> pa.Array:
+        k, tie = k.to_numpy(), tie.to_numpy()
+        own = _run_of(bounds, k, tie)
+        at = np.searchsorted(numbers, own)
+        head = (heads[0][at] == k) & (heads[1][at] == tie) if len(k) else np.zeros(0, bool)
+        flat = np.repeat(own, 1 + head)
+        ends = np.cumsum(1 + head)
+        flat[ends[head] - 1] = before[at[head]]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+    dealt = keyed.select("doc_id", "k", "tie", "text", F.posexplode(places("k", "tie")).alias("extra", "run"))
+    dealt = dealt.repartitionById(runs, F.col("run")).sortWithinPartitions("run", "extra", "k", "tie").select("doc_id", "run", "extra", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []  # doc_id, text, following
         size = 0
