@@ -207,14 +207,6 @@ def threshold_schedule(spark, sf):
     return T.thresholds(materialize(phi, "phi"), 8).select(F.col("level").cast("long").alias("level"), r8("value").alias("value"))
 
 
-@query
-def superlevel_components(spark, sf):
-    """The components at the third of eight levels."""
-    _, adj, phi = _phi(spark, sf)
-    level = T.thresholds(phi, 8).filter("level = 2").select("value").first()
-    return T.superlevel_components(adj, phi, level["value"] if level else float("inf"))
-
-
 @query
 def fragility_scores(spark, sf):
     """Openness, boundary conductance and influence for the set of nodes of more than an even share of potential."""
@@ -318,12 +310,14 @@ def snapshot_diff(spark, sf):
 
 @query
 def graph_merge_upsert(spark, sf):
-    """Two overlapping snapshots: works and tags that are even here, every third there with other values."""
+    """The whole graph, and a whole copy of it with other values and, for every fourth key, keys that are new."""
     g = load_graph(spark, sf)
-    local = Graph(g.nodes.filter(F.col("id") % 2 == 0), g.edges.filter("workNodeId % 2 = 0 and tagNodeId % 2 = 0"), g.author_edges.filter("workNodeId % 2 = 0 and authorNodeId % 2 = 0"))
-    there = g.nodes.filter(F.col("id") % 3 == 0).withColumns({"estimatedFreq": F.col("estimatedFreq") + 1, "calibratedFreq": F.when(F.col("id") % 4 == 0, F.lit(3.0)).otherwise(F.col("calibratedFreq")), "explorationStatus": F.when(F.col("id") % 9 == 0, "partial").otherwise(F.col("explorationStatus"))})
-    incoming = Graph(there, g.edges.filter("workNodeId % 3 = 0 and tagNodeId % 3 = 0"), g.author_edges.filter("workNodeId % 3 = 0 and authorNodeId % 3 = 0"))
-    out = S.import_merge(local, incoming, 1_000_000_000)
+    k = F.col("key").cast("long")
+    there = g.nodes.withColumns({
+        "estimatedFreq": F.col("estimatedFreq") + F.when(k % 2 == 0, 1.0).otherwise(-0.5), "calibratedFreq": F.when(k % 6 == 0, F.lit(3.0)).otherwise(F.col("calibratedFreq")),
+        "explorationStatus": F.when(k % 9 == 0, "partial").otherwise(F.col("explorationStatus")), "exploredAt": F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.col("exploredAt") + 10).otherwise(F.col("exploredAt")),
+    }).withColumn("key", F.when(k % 4 == 0, F.concat(F.lit("new "), "key")).otherwise(F.col("key")))
+    out = S.import_merge(g, Graph(there, g.edges, g.author_edges), 1_000_000_000)
     return out.graph.nodes.select("id", "kind", "key", "estimatedFreq", "calibratedFreq", "explorationStatus", "exploredAt")
 
 
@@ -406,7 +400,8 @@ def query_astar(spark, sf):
     g, adj, phi = _phi(spark, sf)
     rel = A.resolve_seeds(g.nodes, POSITIVE).select("id", F.lit(0.1).alias("relevance"))
     scores = g.nodes.select("id").join(phi, "id").join(rel, "id", "left").select("id", F.coalesce("relevance", "phi").alias("relevance"), F.col("phi").alias("authority"))
-    f, edge = fragile_nodes(g, adj, scores)
+    shape = fragile_nodes(g, adj, scores)
+    f, edge = shape.fragility, shape.boundary
     got = search(collect_candidates(g.nodes, f.join(scores.select("id", "relevance"), "id"), A.degrees(adj), edge, NOW))
     plan = got.plan or {"type": None}
     key = plan.get("key") or (plan["params"].url("") if "params" in plan else None)

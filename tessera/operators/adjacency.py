@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import hub_frequency, row_out_fraction, tag_weight
@@ -14,10 +14,11 @@ def _side(nodes: DataFrame, links: DataFrame, hub: str, kind: int) -> DataFrame:
 
     Links are counted before dangling ones go, and repeated links add weight.
     """
-    counted = links.withColumn("n", F.count("*").over(Window.partitionBy(hub)))
+    many = links.groupBy(F.col(hub).alias("__hub")).agg(F.count("*").alias("n"))  # partial sums: a hub's links never meet in one task
     hubs = nodes.filter(F.col("kind") == kind).select(F.col("id").alias(hub), tag_weight(hub_frequency(F.col("calibratedFreq"), F.col("estimatedFreq"))).alias("down"))
     works = nodes.filter(F.col("kind") == WORK).select(F.col("id").alias("workNodeId"))
-    return counted.join(hubs, hub).join(works, "workNodeId").select(F.col("workNodeId").alias("work"), F.col(hub).alias("hub"), "down", (1.0 / F.col("n")).alias("up"))
+    hubs = hubs.join(many, F.col(hub) == F.col("__hub")).select(hub, "down", "n")
+    return links.join(hubs, hub).join(works, "workNodeId").select(F.col("workNodeId").alias("work"), F.col(hub).alias("hub"), "down", (1.0 / F.col("n")).alias("up"))
 
 
 def adjacency(graph: Graph) -> DataFrame:
@@ -28,6 +29,12 @@ def adjacency(graph: Graph) -> DataFrame:
     return both.select(ways.alias("e")).select("e.*").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def link_counts(graph: Graph) -> DataFrame:
+    """(id, links): how many links each tag and author has."""
+    hubs = graph.edges.select(F.col("tagNodeId").alias("id")).unionByName(graph.author_edges.select(F.col("authorNodeId").alias("id")))
+    return hubs.groupBy("id").agg(F.count("*").alias("links"))
+
+
 def degrees(adj: DataFrame) -> DataFrame:
     return adj.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 
@@ -52,9 +59,10 @@ def transitions(nodes: DataFrame, adj: DataFrame, negative: list[int] | None = N
     Permeability (id, mu; absent is 1) comes after normalisation and is not made up for.
     """
     signed = sign_for_negatives(adj, negative or [])
-    rows = signed.withColumn("total", F.sum(F.abs("weight")).over(Window.partitionBy("src")))
+    totals = signed.groupBy(F.col("src").alias("__src")).agg(F.sum(F.abs("weight")).alias("total"))
     rho = with_out_fraction(nodes, adj).select(F.col("id").alias("__id"), "rho")
-    p = rows.join(rho, rows["src"] == rho["__id"]).select("src", "dst", F.when(F.col("total") > 0, F.col("weight") * (F.col("rho") / F.when(F.col("total") > 0, F.col("total")))).otherwise(F.col("weight")).alias("p"))
+    per = totals.join(rho, F.col("__src") == F.col("__id")).select("__id", "rho", "total")
+    p = signed.join(per, signed["src"] == per["__id"]).select("src", "dst", F.when(F.col("total") > 0, F.col("weight") * (F.col("rho") / F.when(F.col("total") > 0, F.col("total")))).otherwise(F.col("weight")).alias("p"))
     if mu is None:
         return p
     m = mu.filter("mu <> 1")

@@ -79,7 +79,8 @@ class Transitions:
 
     def _distributed(self, teleport: DataFrame, params: Params, receiver: DataFrame | None) -> tuple[DataFrame, int]:
         teleport = teleport.groupBy("id").agg(F.sum("value").alias("value"))
-        base = teleport.select("id", (F.col("value") * params.alpha).alias("value"))
+        base = materialize(teleport.select("id", (F.col("value") * params.alpha).alias("value")), "teleport")
+        receiver = None if receiver is None else materialize(receiver.select("id", "value"), "receiver")
         state, rounds = None, 0
         while rounds < params.max_iterations:
             rounds += 1
@@ -100,6 +101,12 @@ class Transitions:
         return state if state is not None else base.limit(0), rounds
 
 
+def l1_distance(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(delta): the sum of differences' sizes between two vectors (id, value); absent is 0."""
+    both = a.select("id", "value").unionByName(b.select("id", (-F.col("value")).alias("value"))).groupBy("id").agg(F.sum("value").alias("d"))
+    return both.agg(F.coalesce(F.sum(F.abs("d")), F.lit(0.0)).alias("delta"))
+
+
 def iterate(src: np.ndarray, dst: np.ndarray, p: np.ndarray, teleport: np.ndarray, params: Params, receiver: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """The loop on arrays."""
     n = len(teleport)

@@ -133,10 +133,10 @@ ORACLES: dict[str, str] = {
     "tag_merge_nodes": f"{_with(_STATS, _MERGE, recursive=True)} SELECT id, dest AS key, est AS estimatedFreq, cal AS calibratedFreq, CASE st WHEN 2 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'unexplored' END AS explorationStatus FROM groups",
     "listing_transitions": f"WITH {_EVENTS} SELECT hub, seq, st AS explorationStatus, CAST(CASE WHEN grew THEN 1 ELSE nxt END AS BIGINT) AS listingNextPage, CAST(greatest(fetched, page) AS BIGINT) AS listingPagesFetched, greatest(known, cnt) AS calibratedFreq, grew AND coalesce(lag(st) OVER (PARTITION BY hub ORDER BY seq), 'unexplored') = 'complete' AS demoted FROM ev4",
     "snapshot_diff": f"{_with()} SELECT id FROM nodes WHERE id % 7 = 0 OR (id % 5 = 0 AND (xat IS NULL OR xat <> {NOW}))",
-    "graph_merge_upsert": f"""{_with()}, l AS (SELECT * FROM nodes WHERE id % 2 = 0), i AS (SELECT id, kind, key, est + 1 AS est, CASE WHEN id % 4 = 0 THEN 3.0 ELSE cal END AS cal, CASE WHEN id % 9 = 0 THEN 'partial' ELSE st END AS st, xat FROM nodes WHERE id % 3 = 0),
-      n AS (SELECT id, 1000000000 + row_number() OVER (ORDER BY id) - 1 AS new_id FROM i WHERE id % 2 <> 0), o(s, r) AS (VALUES ('unexplored', 0), ('partial', 1), ('complete', 2))
-      SELECT coalesce(l.id, n.new_id) AS id, coalesce(l.kind, i.kind) AS kind, coalesce(l.key, i.key) AS key, greatest(l.est, i.est) AS estimatedFreq, greatest(l.cal, i.cal) AS calibratedFreq, CASE WHEN l.id IS NULL THEN i.st WHEN i.id IS NULL THEN l.st WHEN x.r >= y.r THEN l.st ELSE i.st END AS explorationStatus,
-      CASE WHEN l.id IS NULL THEN i.xat WHEN i.id IS NULL THEN l.xat ELSE nullif(greatest(coalesce(l.xat, 0), coalesce(i.xat, 0)), 0) END AS exploredAt FROM l FULL JOIN i ON l.id = i.id LEFT JOIN n ON n.id = i.id LEFT JOIN o x ON x.s = l.st LEFT JOIN o y ON y.s = i.st""",
+    "graph_merge_upsert": f"""{_with()}, i AS (SELECT id, kind, CASE WHEN k % 4 = 0 THEN 'new ' || key ELSE key END AS key, k % 4 = 0 AS fresh, est + CASE WHEN k % 2 = 0 THEN 1.0 ELSE -0.5 END AS est, CASE WHEN k % 6 = 0 THEN 3.0 ELSE cal END AS cal, CASE WHEN k % 9 = 0 THEN 'partial' ELSE st END AS st,
+      CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN xat + 10 ELSE xat END AS xat FROM nodes), n AS (SELECT id, 1000000000 + row_number() OVER (ORDER BY id) - 1 AS new_id FROM i WHERE fresh), o(s, r) AS (VALUES ('unexplored', 0), ('partial', 1), ('complete', 2))
+      SELECT l.id, l.kind, l.key, greatest(l.est, i.est) AS estimatedFreq, greatest(l.cal, i.cal) AS calibratedFreq, CASE WHEN i.id IS NULL OR x.r >= y.r THEN l.st ELSE i.st END AS explorationStatus, CASE WHEN i.id IS NULL THEN l.xat ELSE nullif(greatest(coalesce(l.xat, 0), coalesce(i.xat, 0)), 0) END AS exploredAt
+      FROM nodes l LEFT JOIN i ON i.id = l.id AND NOT i.fresh LEFT JOIN o x ON x.s = l.st LEFT JOIN o y ON y.s = i.st UNION ALL SELECT new_id, kind, key, est, cal, st, xat FROM i JOIN n ON n.id = i.id""",
     "fuzzy_topk": f"SELECT key, freq, round(score, 8) AS score FROM (SELECT p_name AS key, count(*) AS freq, {_FUZZY.format(n='p_name', q='a')} AS score FROM part GROUP BY p_name) WHERE score IS NOT NULL ORDER BY score DESC, freq DESC, key LIMIT 10",
     "url_scalars": r"SELECT page_id, CAST(CASE WHEN regexp_extract(url, '[?&]page=\s*([0-9]{1,9})', 1) = '' OR CAST(regexp_extract(url, '[?&]page=\s*([0-9]{1,9})', 1) AS BIGINT) = 0 THEN 1 ELSE CAST(regexp_extract(url, '[?&]page=\s*([0-9]{1,9})', 1) AS BIGINT) END AS BIGINT) AS page, CASE WHEN regexp_matches(url, '/works/[0-9]+') THEN 'work' WHEN regexp_matches(url, '^[a-zA-Z]+://[^/?#]*/works/search([?#]|$)') THEN 'search' WHEN regexp_matches(url, '/tags/[^/]+/works') THEN 'tag' WHEN regexp_matches(url, '/users/[^/?#]+') THEN 'author' ELSE 'unknown' END AS kind, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages",
     "tag_urls": """SELECT p_partkey, part, true AS same, 'https://example.org/tags/' || part || '/works' || CASE WHEN p_partkey % 3 > 1 THEN '?page=2' ELSE '' END AS url FROM (SELECT p_partkey, replace(replace(p_name || '*s*' || p_brand || ' *a* Dr*d* ' || p_type || '*q**h*!', '#', '*h*'), ' ', '%20') AS part FROM part)""",

@@ -28,6 +28,16 @@ def export_graph(graph: Graph, next_id: int, at: str) -> DataFrame:
     return doc.select(F.to_json(F.struct(F.lit(VERSION).alias("version"), F.lit(at).alias("exportedAt"), F.lit(next_id).cast("long").alias("nextNodeId"), "nodes", "edges", "authorEdges")).alias("value"))
 
 
+def write_lines(graph: Graph, path: str) -> None:
+    """The tables as JSON lines, one folder each: the same records as the document's, in as many files as Spark likes."""
+    for name, table in (("nodes", graph.nodes), ("edges", graph.edges), ("authorEdges", graph.author_edges)):
+        table.write.option("compression", "gzip").json(f"{path}/{name}")
+
+
+def read_lines(spark: SparkSession, path: str) -> Graph:
+    return Graph(*(spark.read.schema(shape).json(f"{path}/{name}") for name, shape in (("nodes", NODE), ("edges", EDGE), ("authorEdges", AUTHOR_EDGE))))
+
+
 def parse_graph(spark: SparkSession, text: str | DataFrame) -> tuple[Graph, int]:
     """The document's graph and next id, or BadDocument."""
     rows = spark.createDataFrame([(text,)], "value string") if isinstance(text, str) else text.select("value")

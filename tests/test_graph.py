@@ -129,7 +129,7 @@ def test_superlevel_components_and_fragility(spark):
     phi = spark.createDataFrame([(0, 2.0), (1, 2.0), (2, 0.5), (3, 2.0), (4, 1.0)], "id long, phi double")
     assert {r["id"]: r["component"] for r in T.superlevel_components(adj, phi, 1.0).collect()} == {0: 0, 1: 0, 3: 3, 4: 3}
     sets = spark.createDataFrame([(0, [0, 1]), (3, [3, 4])], "hid long, nodes array<long>")
-    edge = T.boundary_nodes(adj, sets, 5)
+    edge = T.boundary_nodes(adj, sets.select("hid", F.explode("nodes").alias("id")), 5)
     assert sorted(r[0] for r in edge.collect()) == [1, 3]
     rho = spark.createDataFrame([(i, 1.0 if i == 0 else 0.5) for i in range(5)], "id long, rho double")
     f = {r["id"]: r["fragility"] for r in T.fragility(rho, T.conductance(adj, phi), phi, edge).collect()}
