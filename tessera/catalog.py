@@ -410,16 +410,18 @@ def query_astar(spark, sf):
 
 @query
 def fog_of_war(spark, sf):
-    """NDCG of a search that sees a synthetic world from one seed, against the whole world's ranking."""
-    from .plans.corpus import Shape, community_graph
-    from .plans.discovery import fog_search
-
-    world = community_graph(spark, Shape(3, 12, 5, 2, 3, 4))
-    world = Graph(*(materialize(t, "world") for t in (world.nodes, world.edges, world.author_edges)))
-    seed = (WORK, "0")
-    start = A.resolve_seeds(world.nodes, [seed])
-    truth = R.run_query(world, start, params=FIVE)
-    works = world.nodes.filter(F.col("kind") == WORK).select("id", "key").join(truth.select("id", "relevance"), "id")
-    gains = works.join(start, "id", "left_anti").select("key", F.col("relevance").alias("gain"))
-    ranked, _ = fog_search(world, seed, 2, params=FIVE)
-    return E.ndcg(ranked, gains, [5, 10, 20]).select(F.col("k").cast("long").alias("k"), r8("ndcg").alias("ndcg"))
+    """Mean NDCG of cold searches over the smallest preset world at all budgets, one seed a community."""
+    from .plans.corpus import SHAPES
+    from .plans.evaluation import evaluate
+
+    return evaluate(spark, SHAPES["small"]).select("seed", F.col("depth").cast("long").alias("depth"), "nodes", "works", r8("ndcg").alias("ndcg"))
+
+
+@query
+def warm_start(spark, sf):
+    """The same after ten, twenty and forty expansions from another seed."""
+    from .plans.corpus import SHAPES
+    from .plans.evaluation import evaluate
+
+    cells = evaluate(spark, SHAPES["small"], warm=True)
+    return cells.select("seed", "first", F.col("initial").cast("long").alias("initial"), F.col("depth").cast("long").alias("depth"), "nodes", "works", r8("ndcg").alias("ndcg"))
