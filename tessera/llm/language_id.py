@@ -1,11 +1,12 @@
 """Language identification by Bayesian evidence fusion.
 
-log posterior(l) = text likelihood + P(declared | l) + P(suffix | l) + host prior(l)
+log posterior(l) = text likelihood + log P(declared | l) + log address prior(l)
 
 The text likelihood is that of hashed byte trigrams, fitted here on labelled texts. The
-other three come from grouped counts of what the text alone says over all rows: how
-often a declared language or an address suffix goes with each language, and a host
-prior that shrinks to its domain's, that to the suffix's, and that to the corpus's.
+other two come from grouped counts of what the text alone says over all rows: how often
+a declared language goes with each language, and a prior by address, whose host's counts
+shrink to its domain's, those to its suffix's, and those to the corpus's. A row without
+a host has the prior of its domain, one without that the suffix's, else the corpus's.
 """
 
 from __future__ import annotations
@@ -76,10 +77,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", most: int
     """Count trigrams by language over at most `most` labelled texts of each (a documented sample for fitting).
 
     The sample is by a hash of the text, so it does not depend on the order of rows;
-    null labels are left out. Counts are summed over tasks; SLOTS rows a language reach the driver.
+    null labels are left out; without any (or any rows) the model has no languages. Counts
+    are summed over tasks; SLOTS rows a language reach the driver.
     """
     rows = labelled.filter(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
+        return TextModel([], np.zeros((SLOTS, 0), np.float32), np.zeros((0, 3)))
     share = F.lit(1.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, most / n)).otherwise(share)
@@ -134,30 +138,31 @@ def _usual(sample: DataFrame, languages: list[str], total: np.ndarray) -> np.nda
     return np.stack([sums[:, 1], between, sums[:, 3]], 1)
 
 
-def with_likelihoods(df: DataFrame, model: TextModel, text: str, out: str = "__ll") -> DataFrame:
-    """df with `out`, the tempered log likelihood of each language, and `{out}_fit`, what its mean lies above the least that labelled texts allow; null for a text without letters."""
-    told = df.sparkSession.sparkContext.broadcast(model)
-    ordered = df.withColumn("__text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+def likelihoods(model: TextModel, text: Column) -> Column:
+    """Struct of `ll`, the tempered log likelihood of each language, and `fit`, what its mean lies above the least that labelled texts allow; null for a text without letters."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (usual, between, inside) = told.value.table, told.value.usual.T
-        for batch in batches:
-            for part in pieces(batch, "__text", 2 << 20):
-                slot, at = _slots(*utf8(part.column(part.num_columns - 1)))
-                n = np.diff(at)
-                total = np.zeros((len(n), table.shape[1]))
-                full = np.flatnonzero(n)
-                for k in range(table.shape[1]) if len(full) else ():
-                    total[full, k] = np.add.reduceat(table[:, k][slot].astype(np.float64), at[:-1][full])
-                size = np.maximum(n, 1)[:, None]
-                fit = total / size - usual + FAR * np.sqrt(between) + NEAR * np.sqrt(inside * OVERLAP / size)
-                total *= (np.minimum(n, SATURATE) / np.maximum(n, 1))[:, None]
-                lists = [x if k else None for x, k in zip(total.tolist(), n.tolist())]
-                fits = [x if k else None for x, k in zip(fit.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x, pa.list_(pa.float64())) for x in (lists, fits)]], names=[*part.schema.names[:-1], out, f"{out}_fit"])
+    def of(piece: pa.Array) -> pa.Array:
+        table, (usual, between, inside) = model.table, model.usual.T
+        slot, at = _slots(*utf8(piece))
+        n = np.diff(at)
+        total = np.zeros((len(n), table.shape[1]))
+        full = np.flatnonzero(n)
+        for k in range(table.shape[1]) if len(full) else ():
+            total[full, k] = np.add.reduceat(table[:, k][slot].astype(np.float64), at[:-1][full])
+        size = np.maximum(n, 1)[:, None]
+        fit = total / size - usual + FAR * np.sqrt(between) + NEAR * np.sqrt(inside * OVERLAP / size)
+        total *= (np.minimum(n, SATURATE) / np.maximum(n, 1))[:, None]
+        edges = pa.array(np.arange(len(n) + 1, dtype=np.int32) * table.shape[1])
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x.ravel())) for x in (total, fit)]
+        return pa.StructArray.from_arrays(lists, names=["ll", "fit"], mask=pa.array(n == 0))
+
+    @F.arrow_udf("ll array<double>, fit array<double>")
+    def tell(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts.fill_null("")], names=["text"])
+        parts = [of(part.column(0)) for part in pieces(batch, "text", 2 << 20)]
+        return pa.concat_arrays(parts) if parts else of(batch.column(0))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {out} array<double>, {out}_fit array<double>"
-    return ordered.mapInArrow(run, schema)
+    return tell(F.coalesce(text, F.lit("")))
 
 
 def host_parts(url: Column) -> dict[str, Column]:
@@ -186,74 +191,84 @@ def visible_text(html: Column) -> Column:
 def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Column | None = None, host: Column | None = None, domain: Column | None = None, suffix: Column | None = None) -> DataFrame:
     """df with lang, confidence, text_lang and accepted, from all evidence there is.
 
-    Missing evidence (a null declared language, host or suffix) says nothing. A text
+    Missing evidence (a null declared language, host, domain or suffix) says nothing. A text
     without letters (null, empty, figures only) is decided by the other evidence but
     never accepted, nor is one that its language's labelled texts make unlikely (another
-    language, random letters): that test does not depend on the other languages. Repeated rows stay; columns of df named like a result are replaced.
-    A row's own text is taken out of its host's counts, so it is not counted twice.
+    language, random letters): that test does not depend on the other languages. Very long
+    texts are read whole; repeated rows stay, and each is told alike; of equal posteriors the
+    first language by name wins. Columns of df named like a result are replaced, others may
+    have any name. A model without languages accepts nothing and tells none. A row's own text
+    is taken out of its host's counts, so it is not counted twice.
     """
     langs, k = model.languages, len(model.languages)
     nothing = F.lit(None).cast("string")
-    parts = {"declared": declared, "host": host, "domain": domain, "suffix": suffix}
     out = ("lang", "confidence", "text_lang", "accepted")
-    held = [c for c in df.columns if c not in out]
-    rows = df.select(*[F.col(f"`{c}`") for c in held], *[(v if v is not None else nothing).cast("string").alias(f"__{n}") for n, v in parts.items()])
-    scored = with_likelihoods(rows, model, text)
-    top = F.array_max("__ll")
-    total = F.aggregate("__ll", F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    scored = scored.withColumn("__post", F.when(F.col("__ll").isNotNull(), F.transform("__ll", lambda x: F.exp(x - top) / total)))
+    held = [F.col(f"`{c}`") for c in df.columns if c not in out]
+    if not k:
+        return df.select(*held, nothing.alias("lang"), F.lit(0.0).alias("confidence"), nothing.alias("text_lang"), F.lit(False).alias("accepted"))
+    given = {"declared": declared, "host": host, "domain": domain, "suffix": suffix}
+    parts = list(given)
+    rows = df.select(F.struct(*held).alias("row"), F.col(f"`{text}`").alias("text"), *[(v if v is not None else nothing).cast("string").alias(n) for n, v in given.items()])
+    scored = rows.withColumn("said", likelihoods(model, F.col("text"))).select("row", *parts, F.col("said.ll").alias("ll"), F.col("said.fit").alias("fit"))
+    top = F.array_max("ll")
+    total = F.aggregate("ll", F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    scored = scored.withColumn("post", F.when(F.col("ll").isNotNull(), F.transform("ll", lambda x: F.exp(x - top) / total)))
 
     # Soft counts of what the text alone says, by each key; partial sums, so a hot host is no hot task.
-    sums = [F.sum(F.element_at("__post", i + 1)).alias(f"n{i}") for i in range(k)]
-    skinny = scored.filter("__post is not null").select("__post", *[f"__{n}" for n in parts])
-    by = settle(skinny.groupBy(*[f"__{n}" for n in parts]).agg(*sums), "evidence")
+    sums = [F.sum(F.element_at("post", i + 1)).alias(f"n{i}") for i in range(k)]
+    by = settle(scored.filter("post is not null").select("post", *parts).groupBy(*parts).agg(*sums), "evidence")
     again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]
     every = by.agg(*again).first()
     n_all = [float(every[i] or 0.0) for i in range(k)]
     prior = [(n + 1.0) / (sum(n_all) + k) for n in n_all]
 
-    def level(keys: list[str], parent: DataFrame | None, shared: list[str]) -> DataFrame:
-        """Priors p0.. of each key, shrunk to the parent's."""
+    def level(keys: list[str], parent: DataFrame | None) -> DataFrame:
+        """keys, and a struct of their counts n, the parent's prior up and their own p that shrinks to it."""
         own = by.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(*again)
-        if parent is None:
-            up = [F.lit(p) for p in prior]
-        else:
-            own = own.alias("o").join(parent.select(*[F.col(c).alias(f"u_{c}") for c in shared], *[F.col(f"p{i}").alias(f"q{i}") for i in range(k)]), [F.col(f"o.{c}").eqNullSafe(F.col(f"u_{c}")) for c in shared], "left").drop(*[f"u_{c}" for c in shared])
-            up = [F.coalesce(f"q{i}", F.lit(prior[i])) for i in range(k)]
+        up = [F.lit(x) for x in prior]
+        if parent is not None:
+            own = own.join(parent.select(*[F.col(c).alias(f"u_{c}") for c in keys[:-1]], F.col("told.p").alias("q")), [F.col(c).eqNullSafe(F.col(f"u_{c}")) for c in keys[:-1]], "left")
+            up = [F.coalesce(F.element_at("q", i + 1), F.lit(prior[i])) for i in range(k)]
         n = sum((F.col(f"n{i}") for i in range(1, k)), F.col("n0"))
-        return own.select(*keys, *[f"n{i}" for i in range(k)], *[((F.col(f"n{i}") + SHRINK * up[i]) / (n + SHRINK)).alias(f"p{i}") for i in range(k)], *[up[i].alias(f"up{i}") for i in range(k)])
+        p = [(F.col(f"n{i}") + SHRINK * up[i]) / (n + SHRINK) for i in range(k)]
+        return own.select(*keys, F.struct(F.array(*[f"n{i}" for i in range(k)]).alias("n"), F.array(*up).alias("up"), F.array(*p).alias("p")).alias("told"))
 
-    by_suffix = level(["__suffix"], None, [])
-    by_domain = level(["__suffix", "__domain"], by_suffix, ["__suffix"])
-    by_host = level(["__suffix", "__domain", "__host"], by_domain, ["__suffix", "__domain"])
-    # P(key | l) = P(l | key) P(key) / P(l): what a declared language or suffix adds is P(l | key) / P(l).
-    by_declared = level(["__declared"], None, [])
+    by_suffix = level(["suffix"], None)
+    by_domain = level(["suffix", "domain"], by_suffix)
+    by_host = level(["suffix", "domain", "host"], by_domain)
+    by_declared = level(["declared"], None)
 
-    def joined(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
-        right = right.select(*[F.col(c).alias(f"r{c}") for c in keys], F.struct(F.array(*[f"n{i}" for i in range(k)]).alias("n"), F.array(*[f"up{i}" for i in range(k)]).alias("up"), F.array(*[f"p{i}" for i in range(k)]).alias("p")).alias(name))
-        return left.join(right, [left[c].eqNullSafe(right[f"r{c}"]) for c in keys], "left").drop(*[f"r{c}" for c in keys])
+    def joined(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+        keys = right.columns[:-1]
+        right = right.select(*[F.col(c).alias(f"r_{c}") for c in keys], F.col("told").alias(name))
+        return left.join(right, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in keys], "left").drop(*[f"r_{c}" for c in keys])
 
     # All keys' evidence is put side by side per distinct combination first, then joined once to the rows.
-    keys = by.select(*[f"__{n}" for n in parts])
-    keys = joined(keys, by_host, ["__suffix", "__domain", "__host"], "h")
-    keys = joined(keys, by_declared, ["__declared"], "d")
-    known = keys.select(*[F.col(f"__{n}").alias(f"k_{n}") for n in parts], "h", "d")
-    full = scored.join(known, [F.col(f"__{n}").eqNullSafe(F.col(f"k_{n}")) for n in parts], "left")
+    known = by.select(*parts)
+    for table, name in ((by_host, "of_host"), (by_domain, "of_domain"), (by_suffix, "of_suffix"), (by_declared, "of_declared")):
+        known = joined(known, table, name)
+    known = known.select(*[F.col(c).alias(f"k_{c}") for c in parts], F.coalesce("of_host", "of_domain", "of_suffix").alias("address"), "of_declared")
+    full = scored.join(known, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in parts], "left")
 
     def term(i: int) -> Column:
-        own = F.coalesce(F.element_at("__post", i + 1), F.lit(0.0))
-        total = F.aggregate("h.n", F.lit(0.0), lambda s, x: s + x)
-        mine = F.when(F.col("__post").isNotNull(), 1.0).otherwise(0.0)
+        own = F.coalesce(F.element_at("post", i + 1), F.lit(0.0))
+        all_n = F.aggregate("address.n", F.lit(0.0), lambda s, x: s + x)
+        mine = F.when(F.col("post").isNotNull(), 1.0).otherwise(0.0)
         # Parents count the row too; with SHRINK rows of them that is a small part.
-        host_prior = F.when(F.col("h").isNotNull(), (F.greatest(F.element_at("h.n", i + 1) - own, F.lit(0.0)) + SHRINK * F.element_at("h.up", i + 1)) / (F.greatest(total - mine, F.lit(0.0)) + SHRINK)).otherwise(F.lit(prior[i]))
-        said = F.when(F.col("d").isNotNull(), F.element_at("d.p", i + 1) / F.lit(prior[i])).otherwise(F.lit(1.0))
-        return F.coalesce(F.element_at("__ll", i + 1), F.lit(0.0)) + F.log(host_prior) + F.log(said)
-
-    full = full.withColumn("__s", F.array(*[term(i) for i in range(k)]))
-    best = F.array_max("__s")
-    mass = F.aggregate("__s", F.lit(0.0), lambda s, x: s + F.exp(x - best))
+        place = F.when(F.col("address").isNotNull(), (F.greatest(F.element_at("address.n", i + 1) - own, F.lit(0.0)) + SHRINK * F.element_at("address.up", i + 1)) / (F.greatest(all_n - mine, F.lit(0.0)) + SHRINK)).otherwise(F.lit(prior[i]))
+        # P(declared | l) = P(l | declared) P(declared) / P(l): what it adds is P(l | declared) / P(l).
+        told = F.when(F.col("of_declared").isNotNull(), F.element_at("of_declared.p", i + 1) / F.lit(prior[i])).otherwise(F.lit(1.0))
+        return F.coalesce(F.element_at("ll", i + 1), F.lit(0.0)) + F.log(place) + F.log(told)
+
+    full = full.withColumn("score", F.array(*[term(i) for i in range(k)]))
+    best = F.array_max("score")
+    mass = F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - best))
     names = F.array(*[F.lit(x) for x in langs])
-    full = full.withColumn("lang", F.element_at(names, F.array_position("__s", best).cast("int"))).withColumn("confidence", 1.0 / mass)
-    full = full.withColumn("text_lang", F.when(F.col("__ll").isNotNull(), F.element_at(names, F.array_position("__ll", F.array_max("__ll")).cast("int"))))
-    full = full.withColumn("accepted", F.col("__ll").isNotNull() & (F.col("confidence") >= LEAST) & (F.element_at("__ll_fit", F.array_position("__s", best).cast("int")) >= 0))
-    return full.select(*[F.col(f"`{c}`") for c in held], *out)
+    at = F.array_position("score", best).cast("int")
+    confidence = 1.0 / mass
+    told = full.select(
+        "row", F.element_at(names, at).alias("lang"), confidence.alias("confidence"),
+        F.when(F.col("ll").isNotNull(), F.element_at(names, F.array_position("ll", F.array_max("ll")).cast("int"))).alias("text_lang"),
+        (F.col("ll").isNotNull() & (confidence >= LEAST) & (F.element_at("fit", at) >= 0)).alias("accepted"),
+    )
+    return told.select("row.*", *out)
