@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import AUTHOR, WORK
+from ..schema import WORK
 
 # Fixed values of the ranking model.
 MEDIAN_WORDS = 2500
@@ -62,7 +62,3 @@ def merge_status(a: Column, b: Column) -> Column:
     """The further of two exploration states."""
     order = F.array(F.lit("unexplored"), F.lit("partial"), F.lit("complete"))
     return F.element_at(order, F.greatest(F.array_position(order, a), F.array_position(order, b)).cast("int"))
-
-
-def is_author(kind: Column) -> Column:
-    return kind == AUTHOR

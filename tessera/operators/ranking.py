@@ -128,21 +128,28 @@ def frontier(nodes: DataFrame, scores: DataFrame, now: int) -> DataFrame:
 def rank_works(works: DataFrame, score: str, k: int, excluded: DataFrame | None = None, suppressed: DataFrame | None = None) -> DataFrame:
     """Works by score until k that are not suppressed are listed; suppressed ones stay in between, flagged.
 
-    excluded and suppressed are (id) tables. Ties go by id. Candidates are the first
-    k + (suppressed works) by score, found by a bounded top-k, so no task sorts all works.
+    excluded and suppressed are (id) tables. Ties go by id. The k-th work that is not
+    suppressed, found by a bounded top-k, tells how far the list goes, so only rows of the
+    result are sorted.
     """
     left = works.join(excluded.select("id"), "id", "left_anti") if excluded is not None else works
-    n = k
     if suppressed is not None:
         hidden = suppressed.select("id").distinct().withColumn("suppressed", F.lit(True))
-        n += hidden.count()
-        left = left.join(F.broadcast(hidden) if n <= 100_000 else hidden, "id", "left").fillna(False, ["suppressed"])
+        left = left.join(hidden, "id", "left").fillna(False, ["suppressed"])
     else:
         left = left.withColumn("suppressed", F.lit(False))
-    top = left.orderBy(F.desc(score), "id").limit(n)
-    order = Window.orderBy(F.desc(score), "id")
-    seen = F.coalesce(F.sum(F.when(F.col("suppressed"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return top.withColumn("rank", F.row_number().over(order)).withColumn("__seen", seen).filter(F.col("__seen") < k).drop("__seen")
+    place = F.struct(F.col(score).alias("s"), (-F.col("id")).alias("i"))
+    shown = left.filter(~F.col("suppressed")).orderBy(F.desc(score), "id").limit(k).agg(F.count("*").alias("n"), F.min(place).alias("last")).first()
+    if shown["n"] == k and k > 0:
+        # A null score stands last, by id, in this order as in the sort.
+        last = shown["last"]
+        if last["s"] is None:
+            left = left.filter(F.col(score).isNotNull() | (F.col("id") <= -last["i"]))
+        else:
+            left = left.filter((F.col(score) > last["s"]) | ((F.col(score) == last["s"]) & (F.col("id") <= -last["i"])))
+    elif k <= 0:
+        left = left.limit(0)
+    return left.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "id")))
 
 
 def fetch_plans(nodes: DataFrame) -> DataFrame:
