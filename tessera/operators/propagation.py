@@ -14,6 +14,7 @@ graphs use all their rounds.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 
 #: Rows of a transition table that one machine takes (24 bytes each).
 LOCAL_EDGES = 5_000_000
@@ -34,6 +35,15 @@ class Params:
     tolerance: float = 1e-6
 
 
+def bucketed(p: DataFrame) -> DataFrame:
+    """The table written once in buckets by src, so that rounds move the vector and not the table."""
+    spark = p.sparkSession
+    ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"transitions_{uuid.uuid4().hex}"
+    p.repartition(ways, "src").write.bucketBy(ways, "src").option("path", f"{scratch(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 class Transitions:
     """A transition table (src, dst, p) over the ids of `nodes`, and how it is iterated."""
 
@@ -42,6 +52,8 @@ class Transitions:
         if engine == "auto":
             self.table = materialize(p, "transitions")
             engine = "local" if self.table.count() <= LOCAL_EDGES else "distributed"
+        if engine == "distributed":
+            self.table = bucketed(self.table)
         self.engine = engine
         self._arrays: tuple | None = None
 

@@ -138,6 +138,10 @@ ORACLES: dict[str, str] = {
       SELECT l.id, l.kind, l.key, greatest(l.est, i.est) AS estimatedFreq, greatest(l.cal, i.cal) AS calibratedFreq, CASE WHEN i.id IS NULL OR x.r >= y.r THEN l.st ELSE i.st END AS explorationStatus, CASE WHEN i.id IS NULL THEN l.xat ELSE nullif(greatest(coalesce(l.xat, 0), coalesce(i.xat, 0)), 0) END AS exploredAt
       FROM nodes l LEFT JOIN i ON i.id = l.id AND NOT i.fresh LEFT JOIN o x ON x.s = l.st LEFT JOIN o y ON y.s = i.st UNION ALL SELECT new_id, kind, key, est, cal, st, xat FROM i JOIN n ON n.id = i.id""",
     "fuzzy_topk": f"SELECT key, freq, round(score, 8) AS score FROM (SELECT p_name AS key, count(*) AS freq, {_FUZZY.format(n='p_name', q='a')} AS score FROM part GROUP BY p_name) WHERE score IS NOT NULL ORDER BY score DESC, freq DESC, key LIMIT 10",
+    "fuzzy_scores": """WITH c AS (SELECT c_custkey, lower(c_name) AS t FROM customer), p AS (SELECT *, instr(t, 'c') - 1 AS k1 FROM c), q AS (SELECT *, CASE WHEN k1 >= 0 AND instr(substr(t, k1 + 2), 'm') > 0 THEN k1 + instr(substr(t, k1 + 2), 'm') END AS k2 FROM p),
+      r AS (SELECT *, CASE WHEN instr(substr(t, k2 + 2), '0') > 0 THEN k2 + instr(substr(t, k2 + 2), '0') END AS k3 FROM q), g AS (SELECT *, CASE WHEN k1 = 0 THEN 1 ELSE 0 END AS r1, CASE WHEN k2 = k1 + 1 THEN CASE WHEN k1 = 0 THEN 2 ELSE 1 END ELSE 0 END AS r2 FROM r)
+      SELECT c_custkey, CASE WHEN instr(t, 'cm0') = 0 AND k3 IS NOT NULL THEN CAST(30 + CASE WHEN k1 = 0 THEN 6 ELSE CASE WHEN substr(t, k1, 1) IN (' ', '-', '(') THEN 12 ELSE 0 END - least(k1, 24) END
+       + CASE WHEN k2 = k1 + 1 THEN (r1 + 1) * 6 ELSE CASE WHEN substr(t, k2, 1) IN (' ', '-', '(') THEN 12 ELSE 0 END - least(k2, 24) END + CASE WHEN k3 = k2 + 1 THEN (r2 + 1) * 6 ELSE CASE WHEN substr(t, k3, 1) IN (' ', '-', '(') THEN 12 ELSE 0 END - least(k3, 24) END AS DOUBLE) END AS score FROM g""",
     "url_scalars": r"SELECT page_id, CAST(CASE WHEN regexp_extract(url, '[?&]page=\s*([0-9]{1,9})', 1) = '' OR CAST(regexp_extract(url, '[?&]page=\s*([0-9]{1,9})', 1) AS BIGINT) = 0 THEN 1 ELSE CAST(regexp_extract(url, '[?&]page=\s*([0-9]{1,9})', 1) AS BIGINT) END AS BIGINT) AS page, CASE WHEN regexp_matches(url, '/works/[0-9]+') THEN 'work' WHEN regexp_matches(url, '^[a-zA-Z]+://[^/?#]*/works/search([?#]|$)') THEN 'search' WHEN regexp_matches(url, '/tags/[^/]+/works') THEN 'tag' WHEN regexp_matches(url, '/users/[^/?#]+') THEN 'author' ELSE 'unknown' END AS kind, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages",
     "tag_urls": """SELECT p_partkey, part, true AS same, 'https://example.org/tags/' || part || '/works' || CASE WHEN p_partkey % 3 > 1 THEN '?page=2' ELSE '' END AS url FROM (SELECT p_partkey, replace(replace(p_name || '*s*' || p_brand || ' *a* Dr*d* ' || p_type || '*q**h*!', '#', '*h*'), ' ', '%20') AS part FROM part)""",
     "count_headings": "SELECT o_orderkey, o_orderkey * 7 AS works, o_orderkey AS found, o_orderkey AS words FROM orders",

@@ -7,7 +7,6 @@ listing pages into rows, the first of each work on a page.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -15,9 +14,13 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.urls import ORIGIN, RESERVED, decode_tag_text, encode_tag_text
 
+#: Pages that are parsed before their rows are given on.
+ROWS = 256
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Tags that end an open tag of their kind.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "p": {"p"}, "option": {"option"}}
@@ -243,15 +246,18 @@ PAGE_DDL = f"kind string, workId string, title string, tags array<string>, autho
 def parse_pages(pages: DataFrame, key: str = "page_id", origin: str = ORIGIN) -> DataFrame:
     """pages (key, url, html) -> key and the page's data; pages of no known kind have kind null."""
 
+    shape = to_arrow_type(T.StructType.fromDDL(PAGE_DDL))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [parse_page(u, h, origin) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([json.dumps(g) if g else None for g in got], pa.string())], names=["__key", "data"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                got = pa.array([parse_page(u, h, origin) for u, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist())], shape)
+                yield pa.RecordBatch.from_arrays([part.column(0), *got.flatten()], names=["__key", *shape.names])
 
     slim = pages.select(F.col(key).alias("__key"), "url", "html")
     kind = slim.schema["__key"].dataType.simpleString()
-    parsed = slim.mapInArrow(run, f"__key {kind}, data string").withColumn("d", F.from_json("data", PAGE_DDL))
-    return parsed.select(F.col("__key").alias(key), "d.*")
+    return slim.mapInArrow(run, f"__key {kind}, {PAGE_DDL}").withColumnRenamed("__key", key)
 
 
 def listed_works(parsed: DataFrame, key: str = "page_id") -> DataFrame:
