@@ -1,4 +1,8 @@
-"""From raw documents to a token store: five stages, each over all that the one before kept."""
+"""From raw documents to a token store: five stages, each over all that the one before kept.
+
+Every stage takes empty tables (and gives one), nulls in any column, rows and doc_ids that
+repeat, very long texts, and other columns of whatever names, which it leaves out.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import content_store, language_id, mixing, ngram_join
-from tessera.llm.common import settle
+from tessera.llm.common import clear_made, made, settle
 from tessera.llm.decontamination import drop_leaks
 from tessera.llm.queries import table, tokenizer_path
 
@@ -16,7 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language text and source tell."""
+    """Documents whose language text and source tell, with the lang they had; those of null, empty or letterless text go, as all do if no row has a lang."""
     model = language_id.fit(docs)
     told = language_id.identify(docs.withColumnRenamed("lang", "__lang"), model, host=F.col("source"))
     return told.filter("accepted").withColumn("lang", F.col("__lang")).select(*COLUMNS)
@@ -33,20 +37,24 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; null and wordless texts stay."""
     return drop_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes."""
-    sized = docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size"))
-    taken = settle(mixing.mix(sized, "size").filter("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("__times")), "taken")
-    mixed = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
+    """As many copies of each document as the mix takes; texts without words are taken for nothing and go.
+
+    Rows are told apart by their places in a written table, so null and repeated doc_ids do no harm.
+    """
+    rows = settle(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "rows")
+    sized = rows.select("doc_id", "source", "__row", mixing.words_in(F.col("text")).alias("size"))
+    taken = settle(mixing.mix(sized, "size", keep=("__row",)).filter("taken > 0").select(F.col("__row").alias("__taken"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times")), "taken")
+    mixed = rows.join(taken, rows["__row"] == taken["__taken"])
     return mixed.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*COLUMNS)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The store's index: doc_id, start, n_tokens, ids_crc32."""
+    """The store's index: doc_id, start, n_tokens, ids_crc32; a null text is its end id alone, rows that repeat stand as often."""
     path = content_store.new_store(spark)
     content_store.write_store(docs, tokenizer_path(), path)
     return content_store.read_index(spark, path)
@@ -65,7 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; every stage's intermediate tables go once its own table is written."""
+    docs, start = table(spark, sf_dir, "documents"), len(made)
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name)
+        clear_made(spark, start, made[-1])
     return docs

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import drop_path
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -25,11 +27,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages -> ARC -> WARC files -> what the files say."""
+    """pages -> ARC files -> WARC files -> what the files say."""
     from . import archives as A
 
-    path = A.new_archive(spark)
-    A.write_warc(A.to_warc(A.to_arc(table(spark, sf_dir, "pages"))), path)
+    legacy, path = A.new_archive(spark), A.new_archive(spark)
+    A.write_arc(A.to_arc(table(spark, sf_dir, "pages")), legacy)
+    A.write_warc(A.to_warc(A.read_arc(spark, legacy)), path)
+    drop_path(spark, legacy)
     return A.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -51,11 +55,12 @@ def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents, each a file of its source's directory."""
+    """documents, each a file of its source's directory or of one up to two levels below, as its doc_id says."""
     from .licenses import scan
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
+    n = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.when(n % 7 > 0, F.concat(F.lit("part"), n % 10)), F.when(n % 7 > 2, F.concat(F.lit("sub"), n % 3)), n.cast("string"))
     return scan(docs, path).select("doc_id", "license", "cosine", "license_share", "inherited_license", "inherited_from", "effective_license")
 
 
@@ -98,14 +103,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A label passes one link a round; no component of the test tables is so many links wide.
+_ROUNDS = 16
+_PASS = "".join(f",\nc{i} AS MATERIALIZED (SELECT doc_id, min(label) AS label FROM (SELECT * FROM c{i - 1} UNION ALL SELECT b, label FROM c{i - 1} JOIN links ON a = doc_id) GROUP BY doc_id)" for i in range(1, _ROUNDS + 1))
 ORACLES = {
+    "op1_ngram_join": rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+c0 AS MATERIALIZED (SELECT doc_id, doc_id AS label FROM n){_PASS}
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.label, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c{_ROUNDS} c ON c.doc_id = w.doc_id""",
     "op2_warc_convert": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM p LEFT JOIN m ON m.d = p.d""",
     "op4_weighted_mix": r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), ':' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
 r AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)] AS w, ss * 2.0::DOUBLE AS cap FROM s),
 f AS (SELECT *, cap / w AS full_at FROM r),

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import archives, content_store, ctw, decontamination, fingerprints, language_id, licenses, lm_scoring, mixing, ngram_join, queries, token_counts
+from tessera.llm.common import settle
 from tessera.llm.encoding import encoder
 
 WORD, BENCH_WORD = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -86,11 +87,24 @@ def test_arc_to_warc_round_trip(spark, tmp_path):
     big = "<html>" + "x" * 1200
     rows = [(1, "http://a/ b", big), (5, "http://b", big), (3, None, big), (2, "http://c", "é" * 3), (4, "http://d", "é" * 3), (6, "http://e", None), (None, "http://f", "WARC/1.1\r\n\r\nx"), (5, "http://b", big)]
     path = f"file://{tmp_path}/w"
-    archives.write_warc(archives.to_warc(archives.to_arc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))), path)
+    archives.write_arc(archives.to_arc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), f"file://{tmp_path}/arc")
+    legacy = archives.read_arc(spark, f"file://{tmp_path}/arc")
+    archives.write_warc(archives.to_warc(legacy), path)
     got = sorted(((r["page_id"] or -1, r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in archives.read_warc(spark, path).collect()))
     sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
     assert [g[:4] for g in got] == [(-1, "response", None, 13), (1, "revisit", 5, 1206), (2, "response", None, 6), (3, "revisit", 5, 1206), (4, "response", None, 6), (5, "response", None, 1206), (5, "revisit", 5, 1206), (6, "response", None, 0)]
     assert {g[4] for g in got} == {sha(big), sha("ééé"), sha(None), sha(rows[6][2])}
+    # Every record is a gzip member of its own, and identifiers do not depend on where the files lie.
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("part-*")]
+    whole = [r for f in files for r in archives.warc_records(f)]
+    assert len(whole) == 9 and sum(f.count(b"\x1f\x8b\x08\x00") for f in files) >= 18
+    again = {h["warc-record-id"] for r in archives.to_warc(legacy).collect() for h, _ in archives.warc_records(archives.record_bytes(r["header"], bytes(r["head"]), r["body"] and bytes(r["body"])))}
+    assert again == {h["warc-record-id"] for h, _ in whole} and len(again) == 9
+    assert {h["warc-refers-to"] for h, _ in whole if h["warc-type"] == "revisit"} <= again
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    archives.write_arc(archives.to_arc(none), f"file://{tmp_path}/none")
+    archives.write_warc(archives.to_warc(archives.read_arc(spark, f"file://{tmp_path}/none")), f"file://{tmp_path}/none2")
+    assert archives.read_warc(spark, f"file://{tmp_path}/none2").count() == 0
 
 
 def test_arc_versions_and_damage():
@@ -154,13 +168,15 @@ def test_token_counts_and_store(spark, corpus, tmp_path):
 def test_damaged_store_is_noticed(spark, tmp_path):
     path = f"file://{tmp_path}/ids"
     content_store.write_store(docs_of(spark, ["some words here", "and more"]), TOKENIZER, path)
-    staged = spark.read.parquet(f"{path}/staged")
-    bad = staged.withColumn("ids", F.when(F.col("kind") == 1, F.expr("unhex('0100')")).otherwise(F.col("ids")))
-    bad.write.partitionBy("kind").parquet(f"file://{tmp_path}/bad/staged")
-    for t in ("recipes", "manifest"):
-        spark.read.parquet(f"{path}/{t}").write.parquet(f"file://{tmp_path}/bad/{t}")
+    for name, bad in (("chunks", lambda d: d.withColumn("ids", F.when(F.col("hash").isNotNull(), F.expr("unhex('0100')")))), ("recipes", lambda d: d.filter("doc_id = 0")), ("manifest", lambda d: d.withColumn("root", F.expr("unhex('00')")))):
+        for t in ("chunks", "recipes", "manifest"):
+            table = spark.read.parquet(f"{path}/{t}")
+            (bad(table) if t == name else table).write.parquet(f"file://{tmp_path}/{name}/{t}")
+    for name in ("recipes", "manifest"):
+        with pytest.raises(ValueError, match="does not match what lies below"):
+            content_store.read_index(spark, f"file://{tmp_path}/{name}").collect()
     with pytest.raises(Exception, match="does not match its address"):
-        content_store.read_index(spark, f"file://{tmp_path}/bad").collect()
+        content_store.read_index(spark, f"file://{tmp_path}/chunks").collect()
 
 
 def test_encoder_cuts_nowhere_wrong():
@@ -232,10 +248,35 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(d, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
-def test_decontamination_runs_no_python(spark):
+def test_decontamination_runs_no_python(spark, monkeypatch):
+    plans = []
+
+    def watched(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, what)
+
+    monkeypatch.setattr(decontamination, "settle", watched)
     d, b = docs_of(spark, ODD), spark.createDataFrame([(1, "x y")], "item_id long, text string")
-    plan = decontamination.find_leaks(d, b)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    for out in (decontamination.find_leaks(d, b), decontamination.drop_leaks(d, b)):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 8 and not any(re.search("Python|Arrow|Pandas", p) for p in plans)
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_decontamination_of_null_and_repeated_ids(spark, monkeypatch, small):
+    """Also with both sides shuffled, names that clash, and one k-gram that all items share."""
+    monkeypatch.setattr(decontamination, "SMALL", small)
+    monkeypatch.setattr(decontamination, "MEETING", small)
+    rng = random.Random(8)
+    common = "one two three four five"
+    items = [(i, f"{prose(rng, 8)} {common} {prose(rng, 8)}") for i in range(30)]
+    texts = [items[3][1], items[4][1], f"{common} {prose(rng, 30)}", prose(rng, 20), items[3][1], None, f"{common} " * 40]
+    rows = [(7 if i < 3 else None, t, "x", "y", 1) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_hit string, item string, h1 int")
+    got = sorted(((r["doc_id"] or -1, r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontamination.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()))
+    assert got == sorted((r[0] or -1, *x) for r, x in zip(rows, leaks(texts, items)))
+    kept = decontamination.drop_leaks(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.columns == d.columns and sorted(map(str, (r["text"] for r in kept.collect()))) == sorted(map(str, [texts[i] for i in (2, 3, 5, 6)]))
 
 
 def test_language_id(spark):
