@@ -10,7 +10,7 @@ from .catalog_store import s
 from .operators import adjacency as A
 from .operators import ranking as R
 from .operators import topology as T
-from .operators.propagation import Transitions, l1_distance
+from .operators.propagation import SIGNALS, Transitions, l1_distance, run_signals
 from .oracles import _POS, _PRIOR, _SETS, _power, _with
 from .schema import TAG, WORK, Graph
 from .session import materialize
@@ -58,6 +58,13 @@ def receiver_distributed_k5(spark, sf):
     return t.run(A.seed_teleport(A.resolve_seeds(g.nodes, POSITIVE)), Params(0.15, 5, 0.0), first)[0].select("id", r8("value").alias("value")).filter("value > 0")
 
 
+@query(f"{_with(_POS, _power('rp', 'pos_t', 5))} SELECT * FROM (SELECT 'relevance' AS signal, id, round(v, 8) AS value FROM rp) WHERE value > 0")
+def signal_values(spark, sf):
+    """The registered signals from the positive seeds."""
+    g, t = _distributed(spark, sf)
+    return run_signals(t, sorted(SIGNALS), A.resolve_seeds(g.nodes, POSITIVE), Params(0.15, 5, 0.0)).select("signal", "id", r8("value").alias("value")).filter("value > 0")
+
+
 @query(f"{_with(_POS, _power('x', 'pos_t', 4))} SELECT round(sum(abs(d)), 8) AS delta FROM (SELECT id, sum(v) AS d FROM (SELECT id, v FROM x_4 UNION ALL SELECT id, -v FROM x_3) GROUP BY id)")
 def iteration_delta(spark, sf):
     """How far the fourth round's vector lies from the third's."""

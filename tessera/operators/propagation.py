@@ -15,6 +15,7 @@ graphs use all their rounds.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
+from .adjacency import seed_teleport
 
 #: Rows of a transition table that one machine takes (24 bytes each).
 LOCAL_EDGES = 5_000_000
@@ -113,6 +115,23 @@ class Transitions:
         return state if state is not None else base.limit(0), rounds
 
 
+#: Signals by name: what each starts from, given resolved seeds.
+SIGNALS: dict[str, Callable[[DataFrame], DataFrame]] = {"relevance": seed_teleport}
+
+
+def run_signals(t: Transitions, names: list[str], seeds: DataFrame, params: Params) -> DataFrame:
+    """(signal, id, value) of each named signal; a name that is not registered is an error."""
+    out = None
+    for name in names:
+        if name not in SIGNALS:
+            raise ValueError(f"no signal is called {name!r}")
+        one = t.run(SIGNALS[name](seeds), params)[0].select(F.lit(name).alias("signal"), "id", "value")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no signal is asked for")
+    return out
+
+
 def l1_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     """(delta): the sum of differences' sizes between two vectors (id, value); absent is 0."""
     both = a.select("id", "value").unionByName(b.select("id", (-F.col("value")).alias("value"))).groupBy("id").agg(F.sum("value").alias("d"))
