@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,23 +11,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Text that one numpy pass works on at once.
-PIECE_BYTES = 4 << 20
-_OWN: dict[str, str] = {}
-
+from ..session import scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set and all runs in one process."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _OWN.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+#: Text that one numpy pass works on at once.
+PIECE_BYTES = 1 << 20
+#: Intermediate tables of this process, in order.
+made: list[str] = []
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new place in the folder that driver and executors share."""
+    path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
+    made.append(path)
+    return path
 
 
 def settle(df: DataFrame, what: str = "table") -> DataFrame:
@@ -39,6 +34,14 @@ def settle(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_made(spark: SparkSession, since: int, keep: str) -> None:
+    """Delete what this process made since made[since] but for `keep`: for callers whose result is written there."""
+    for path in made[since:]:
+        if path != keep:
+            drop_path(spark, path)
+    made[since:] = [keep]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a finished intermediate folder, wherever Spark's file systems keep it."""
     jvm = spark.sparkContext._jvm
@@ -60,7 +63,7 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped, and gone when freed
+        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD: larger arrays are mapped, and gone when freed
         libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass

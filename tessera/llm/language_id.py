@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, settle, utf8
+from .common import pieces, settle, tidy, utf8
 from .shingles import LOWER
 
 #: Hash slots of trigrams, and labelled texts of a language that the fit uses (of least hash).
@@ -37,6 +37,9 @@ FAR, NEAR, OVERLAP = 18.0, 4.0, 3.0
 #: Least deviation between texts, for labelled texts that are all alike.
 LEAST_BETWEEN = 0.1
 
+#: Distinct addresses and declarations up to which their evidence is broadcast (some 500 bytes each); beyond, rows are shuffled.
+KNOWN = 40_000
+
 # Second-level labels under which registered names are one label longer.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 
@@ -90,6 +93,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", most: int
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
     languages = sorted(sizes)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), SLOTS), np.int64)
         for batch in batches:
@@ -112,6 +116,7 @@ def _usual(sample: DataFrame, languages: list[str], total: np.ndarray) -> np.nda
     """TextModel.usual from the sample, each text by the counts of the others."""
     told = sample.sparkSession.sparkContext.broadcast(total)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), 5))  # texts, mean, its square, variance inside, that over the text's size
         all_n = told.value.sum(1)
@@ -159,7 +164,7 @@ def likelihoods(model: TextModel, text: Column) -> Column:
     @F.arrow_udf("ll array<double>, fit array<double>")
     def tell(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts.fill_null("")], names=["text"])
-        parts = [of(part.column(0)) for part in pieces(batch, "text", 2 << 20)]
+        parts = [of(part.column(0)) for part in pieces(batch, "text")]
         return pa.concat_arrays(parts) if parts else of(batch.column(0))
 
     return tell(F.coalesce(text, F.lit("")))
@@ -203,13 +208,14 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Colu
     langs, k = model.languages, len(model.languages)
     nothing = F.lit(None).cast("string")
     out = ("lang", "confidence", "text_lang", "accepted")
-    held = [F.col(f"`{c}`") for c in df.columns if c not in out]
+    names_held = [c for c in df.columns if c not in out]
     if not k:
-        return df.select(*held, nothing.alias("lang"), F.lit(0.0).alias("confidence"), nothing.alias("text_lang"), F.lit(False).alias("accepted"))
+        return df.select(*[F.col(f"`{c}`") for c in names_held], nothing.alias("lang"), F.lit(0.0).alias("confidence"), nothing.alias("text_lang"), F.lit(False).alias("accepted"))
     given = {"declared": declared, "host": host, "domain": domain, "suffix": suffix}
     parts = list(given)
-    rows = df.select(F.struct(*held).alias("row"), F.col(f"`{text}`").alias("text"), *[(v if v is not None else nothing).cast("string").alias(n) for n, v in given.items()])
-    scored = rows.withColumn("said", likelihoods(model, F.col("text"))).select("row", *parts, F.col("said.ll").alias("ll"), F.col("said.fit").alias("fit"))
+    held = [f"c{i}" for i in range(len(names_held))]  # so that columns may have any name, and unused ones are not carried
+    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(names_held, held)], F.col(f"`{text}`").alias("text"), *[(v if v is not None else nothing).cast("string").alias(n) for n, v in given.items()])
+    scored = rows.withColumn("said", likelihoods(model, F.col("text"))).select(*held, *parts, F.col("said.ll").alias("ll"), F.col("said.fit").alias("fit"))
     top = F.array_max("ll")
     total = F.aggregate("ll", F.lit(0.0), lambda s, x: s + F.exp(x - top))
     scored = scored.withColumn("post", F.when(F.col("ll").isNotNull(), F.transform("ll", lambda x: F.exp(x - top) / total)))
@@ -248,6 +254,8 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Colu
     for table, name in ((by_host, "of_host"), (by_domain, "of_domain"), (by_suffix, "of_suffix"), (by_declared, "of_declared")):
         known = joined(known, table, name)
     known = known.select(*[F.col(c).alias(f"k_{c}") for c in parts], F.coalesce("of_host", "of_domain", "of_suffix").alias("address"), "of_declared")
+    known = settle(known, "known")
+    known = F.broadcast(known) if known.count() <= KNOWN else known
     full = scored.join(known, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in parts], "left")
 
     def term(i: int) -> Column:
@@ -267,8 +275,8 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Colu
     at = F.array_position("score", best).cast("int")
     confidence = 1.0 / mass
     told = full.select(
-        "row", F.element_at(names, at).alias("lang"), confidence.alias("confidence"),
+        *held, F.element_at(names, at).alias("lang"), confidence.alias("confidence"),
         F.when(F.col("ll").isNotNull(), F.element_at(names, F.array_position("ll", F.array_max("ll")).cast("int"))).alias("text_lang"),
         (F.col("ll").isNotNull() & (confidence >= LEAST) & (F.element_at("fit", at) >= 0)).alias("accepted"),
     )
-    return told.select("row.*", *out)
+    return told.select(*[F.col(a).alias(c) for a, c in zip(held, names_held)], *out)

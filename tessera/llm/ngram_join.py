@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, settle, utf8
+from .common import pieces, settle, tidy, utf8
 from ..operators.components import label_components
 from .shingles import mix, shingle_sets
 
@@ -35,6 +35,8 @@ from .shingles import mix, shingle_sets
 KNOWN, OFFERED = 1 << 18, 1 << 16
 #: Largest l, and what comparing a candidate costs in postings.
 LONGEST, COMPARE = 4, 2.0
+#: Classes that a task remembers not to repeat.
+REMEMBERED = 200_000
 #: Postings of a list that is paired at once.
 SHORT = 16
 #: Estimated postings from which a list is dealt to several tasks; also the side of a block.
@@ -68,6 +70,7 @@ def _sets_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.nd
 def class_sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, cls (null without words), and the long columns `keep`."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _sets_of(batch):
@@ -86,6 +89,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     the most that is broadcast.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
@@ -106,10 +110,10 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                         seen.add(k)
                         held.append(s)
                         size += len(s)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield offer()
                     held, size = [], 0
-                if len(seen) > 1_000_000:
+                if len(seen) > REMEMBERED:
                     seen.clear()
         if size:
             yield offer()
@@ -142,6 +146,7 @@ def _pack_postings(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percen
     """Prefix postings of every class a task sees, as (bucket, postings) with packed rows of _POSTING."""
     told = docs.sparkSession.sparkContext.broadcast(known)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = told.value
         seen: set[int] = set()
@@ -179,10 +184,10 @@ def _pack_postings(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percen
                     rows["token"], rows["cls"], rows["n"], rows["at"], rows["l"] = token[:m], k, n, np.arange(1, m + 1), l
                     held.append(rows)
                     size += m
-                if size > 1_000_000:
+                if size > 500_000:
                     yield deal()
                     held, size = [], 0
-                if len(seen) > 1_000_000:
+                if len(seen) > REMEMBERED:
                     seen.clear()
         if size:
             yield deal()
@@ -266,6 +271,7 @@ def _hashes(ids: np.ndarray) -> np.ndarray:
 def _filter_of(ids: DataFrame) -> np.ndarray:
     """A bit for each id (one long column); FILTER_BITS / 8 bytes, however many there are."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.unique(_hashes(batch.column(0).to_numpy()))
@@ -285,6 +291,7 @@ def verify(docs: DataFrame, pairs: DataFrame, holders: DataFrame, percent: int)
     need = settle(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(holders, "cls").select("cls", "low"), "need")
     told = docs.sparkSession.sparkContext.broadcast(_filter_of(need.select("low")))
 
+    @tidy
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = told.value, set()
         for batch in batches:
@@ -296,6 +303,7 @@ def verify(docs: DataFrame, pairs: DataFrame, holders: DataFrame, percent: int)
                 if keep:
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), *[c.take(pa.array(keep)) for c in part.columns]], names=["cls", "low", "text"])
 
+    @tidy
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "ta", 1 << 20):
@@ -326,6 +334,7 @@ def _cross(long: DataFrame, short: DataFrame, labels: DataFrame, percent: int) -
     by the shingles its short lists share.
     """
 
+    @tidy
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():

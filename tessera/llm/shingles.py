@@ -16,18 +16,20 @@ _BYTE_LOWER = _BYTE[LOWER]
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 _PLACE = _rng.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
+#: Powers that a worker keeps (longer texts make their own).
+KEPT = 5 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; the first KEPT are kept."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        have = np.full(size, base, np.uint64)
+        have = np.full(max(n, KEPT), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[int(base)] = have
+        if len(have) == KEPT:
+            _powers[int(base)] = have
     return have[:n]
 
 
