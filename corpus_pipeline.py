@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import content_store, language_id, mixing, ngram_join
-from tessera.llm.common import clear_made, made, settle
+from tessera.llm.common import drop_path, made, settle
 from tessera.llm.decontamination import drop_leaks
 from tessera.llm.queries import table, tokenizer_path
 
@@ -60,12 +60,30 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return content_store.read_index(spark, path)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", keep_identified),
-    ("near_duplicates", keep_one_of_each_group),
-    ("decontamination", drop_benchmark_leaks),
-    ("mixing", mix_sources),
-    ("token_store", write_tokens),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def cleared(stage: Stage) -> Stage:
+    """The stage, which first deletes what the one before it left: its rows have been written and read again by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            drop_path(spark, _left.pop())
+        start = len(made)
+        out = stage(spark, docs, sf_dir)
+        _left.extend(made[start:])
+        return out
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", cleared(keep_identified)),
+    ("near_duplicates", cleared(keep_one_of_each_group)),
+    ("decontamination", cleared(drop_benchmark_leaks)),
+    ("mixing", cleared(mix_sources)),
+    ("token_store", cleared(write_tokens)),
 ]
 
 #: Language likelihoods and token ids are not SQL: tests hold run() against brute force.
@@ -73,9 +91,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage's intermediate tables go once its own table is written."""
-    docs, start = table(spark, sf_dir, "documents"), len(made)
+    """The last stage's rows; every stage's intermediate tables, and its rows, go once those of the next are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name)
-        clear_made(spark, start, made[-1])
+        if before:
+            drop_path(spark, before)
+        before = made[-1]
     return docs

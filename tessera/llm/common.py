@@ -34,14 +34,6 @@ def settle(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_made(spark: SparkSession, since: int, keep: str) -> None:
-    """Delete what this process made since made[since] but for `keep`: for callers whose result is written there."""
-    for path in made[since:]:
-        if path != keep:
-            drop_path(spark, path)
-    made[since:] = [keep]
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a finished intermediate folder, wherever Spark's file systems keep it."""
     jvm = spark.sparkContext._jvm
