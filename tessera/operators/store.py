@@ -11,7 +11,7 @@ from ..functions.scores import merge_status
 from ..functions.text import is_redacted, trimmed
 from ..plans.numbering import dense_numbers
 from ..schema import TAG, WORK, Graph
-from ..session import materialize
+from ..session import materialize, spread
 
 #: Mergers that a tag's chain is followed through.
 LONGEST_CHAIN = 32
@@ -54,31 +54,41 @@ def alias_roots(tags: DataFrame, chain: int = LONGEST_CHAIN) -> DataFrame:
     """(tag_id, root, hops): where each tag's mergers lead.
 
     A chain stops before a redacted or missing tag, at a tag it has met, and after
-    `chain` mergers. Hops are doubled (1, 2, 4, ... at a time), so 32 take six joins.
-    Tags whose chains never end stand in cycles; only those are walked step by step.
+    `chain` mergers. Hops are doubled (1, 2, 4, ... at a time) as far as `chain`, so 32
+    take six joins however long the chains are. The least tag of a cycle is the least of
+    the tags it leads to; only tags that lead into a cycle are walked step by step.
     """
     good = tags.select("tag_id", "merger_id", is_redacted(F.col("name")).alias("gone"))
     parents = good.filter("not gone").select(F.col("tag_id").alias("p"))
-    step = materialize(good.filter("not gone").join(parents, F.col("merger_id") == F.col("p")).filter("p <> tag_id").select("tag_id", F.col("p").alias("up")), "alias")
-    one, power, k = step, [], 0
-    while k < 24 and step.limit(1).count():
+    step = good.filter("not gone and merger_id <> tag_id").join(spread(parents), F.col("merger_id") == F.col("p")).select("tag_id", F.col("p").alias("up"), F.col("p").alias("least"))
+    power, rounds = [], (max(1, chain) - 1).bit_length()
+    for k in range(rounds + 1):
+        step = materialize(step, "alias")
+        if not step.limit(1).count():
+            break
         power.append(step)
-        up = step.select(F.col("tag_id").alias("__t"), F.col("up").alias("__u"))
-        step = materialize(step.join(up, step["up"] == up["__t"]).select("tag_id", F.col("__u").alias("up")), "alias")
-        k += 1
+        up = step.select(F.col("tag_id").alias("__t"), F.col("up").alias("__u"), F.col("least").alias("__l"))
+        step = step.join(spread(up), step["up"] == up["__t"]).select("tag_id", F.col("__u").alias("up"), F.least("least", "__l").alias("least"))
     ends = tags.select("tag_id", F.col("tag_id").alias("root"), F.lit(0).alias("hops"))
-    for k in reversed(range(len(power))):
-        up = power[k].select(F.col("tag_id").alias("__t"), F.col("up").alias("__u"))
-        ok = F.col("__u").isNotNull() & (F.col("hops") + (1 << k) <= chain)
-        ends = ends.join(up, ends["root"] == up["__t"], "left").select("tag_id", F.when(ok, F.col("__u")).otherwise(F.col("root")).alias("root"), F.when(ok, F.col("hops") + (1 << k)).otherwise(F.col("hops")).alias("hops"))
-    if not step.limit(1).count():
+    for k in reversed(range(chain.bit_length())):
+        if k < len(power):
+            up = power[k].select(F.col("tag_id").alias("__t"), F.col("up").alias("__u"))
+            ok = F.col("__u").isNotNull() & (F.col("hops") + (1 << k) <= chain)
+            ends = ends.join(spread(up), ends["root"] == up["__t"], "left").select("tag_id", F.when(ok, F.col("__u")).otherwise(F.col("root")).alias("root"), F.when(ok, F.col("hops") + (1 << k)).otherwise(F.col("hops")).alias("hops"))
+    if len(power) <= rounds:
         return ends
-    walk = step.select("tag_id", F.col("tag_id").alias("root"), F.lit(0).alias("hops"), F.array("tag_id").alias("seen"))
+    into = materialize(power[rounds].filter("least = tag_id").select("tag_id"), "cycles")
+    if not into.limit(1).count():
+        return ends
+    for links in (power[0], *power[:-1]):
+        met = into.select(F.col("tag_id").alias("__t"))
+        into = materialize(links.join(spread(met), F.col("up") == F.col("__t")).select("tag_id").unionByName(into).distinct(), "cycles")
+    walk = into.select("tag_id", F.col("tag_id").alias("root"), F.lit(0).alias("hops"), F.array("tag_id").alias("seen"))
+    up = power[0].select(F.col("tag_id").alias("__t"), F.col("up").alias("__u"))
     for _ in range(chain):
-        up = one.select(F.col("tag_id").alias("__t"), F.col("up").alias("__u"))
         ok = F.col("__u").isNotNull() & ~F.array_contains("seen", F.col("__u"))
-        walk = materialize(walk.join(up, walk["root"] == up["__t"], "left").select("tag_id", F.when(ok, F.col("__u")).otherwise(F.col("root")).alias("root"), F.when(ok, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"), F.when(ok, F.array_append("seen", F.col("__u"))).otherwise(F.col("seen")).alias("seen")), "alias")
-    return ends.join(walk, "tag_id", "left_anti").unionByName(walk.drop("seen"))
+        walk = materialize(walk.join(spread(up), walk["root"] == up["__t"], "left").select("tag_id", F.when(ok, F.col("__u")).otherwise(F.col("root")).alias("root"), F.when(ok, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"), F.when(ok, F.array_append("seen", F.col("__u"))).otherwise(F.col("seen")).alias("seen")), "alias")
+    return ends.join(spread(walk.select("tag_id")), "tag_id", "left_anti").unionByName(walk.drop("seen"))
 
 
 def canonical_names(tags: DataFrame) -> DataFrame:
@@ -87,21 +97,21 @@ def canonical_names(tags: DataFrame) -> DataFrame:
     own = tags.select("tag_id", "name")
     ends = tags.select(F.col("tag_id").alias("root"), F.col("name").alias("root_name"), F.col("cached_count").alias("root_count"))
     bad = is_redacted(F.col("root_name")) | (F.col("root_name") == "")
-    return own.join(roots, "tag_id").join(ends, "root").select("name", F.when(bad, F.col("name")).otherwise(F.col("root_name")).alias("canonical"), F.col("root_count").alias("cached_count"))
+    return own.join(spread(roots), "tag_id").join(spread(ends), "root").select("name", F.when(bad, F.col("name")).otherwise(F.col("root_name")).alias("canonical"), F.col("root_count").alias("cached_count"))
 
 
 def resolve_names(names: DataFrame, column: str, canonical: DataFrame) -> DataFrame:
     """names with `resolved`: the canonical name of the trimmed one, or that itself; blank names stay as they are."""
     t = trimmed(F.col(column))
     c = canonical.select(F.col("name").alias("__n"), F.col("canonical").alias("__c")).dropDuplicates(["__n"])
-    return names.withColumn("__t", t).join(c, F.col("__t") == F.col("__n"), "left").withColumn("resolved", F.when(F.col("__t") == "", F.col(column)).otherwise(F.coalesce("__c", "__t"))).drop("__t", "__n", "__c")
+    return names.withColumn("__t", t).join(spread(c), F.col("__t") == F.col("__n"), "left").withColumn("resolved", F.when(F.col("__t") == "", F.col(column)).otherwise(F.coalesce("__c", "__t"))).drop("__t", "__n", "__c")
 
 
 def calibrate(nodes: DataFrame, stats: DataFrame) -> DataFrame:
     """nodes whose tags take the greatest count that the statistics have under their name."""
     best = stats.groupBy(F.col("name").alias("__n")).agg(F.max("cached_count").cast("double").alias("__c"))
     is_tag = F.col("kind") == TAG
-    return nodes.join(best, is_tag & (F.col("key") == F.col("__n")), "left").withColumn("calibratedFreq", F.when(is_tag, F.greatest("calibratedFreq", "__c")).otherwise(F.col("calibratedFreq"))).drop("__n", "__c")
+    return nodes.join(spread(best), is_tag & (F.col("key") == F.col("__n")), "left").withColumn("calibratedFreq", F.when(is_tag, F.greatest("calibratedFreq", "__c")).otherwise(F.col("calibratedFreq"))).drop("__n", "__c")
 
 
 def _furthest(group: str) -> list[Column]:
@@ -119,16 +129,16 @@ def merge_tags(graph: Graph, canonical: DataFrame) -> tuple[Graph, DataFrame]:
     the greatest frequencies, furthest state and latest time win.
     """
     c = canonical.select(F.col("name").alias("__n"), F.col("canonical").alias("__c"), F.col("cached_count").cast("double").alias("__count")).dropDuplicates(["__n"])
-    tags = graph.nodes.filter(F.col("kind") == TAG).join(c, F.col("key") == F.col("__n"), "left").withColumn("__to", F.coalesce("__c", "key")).withColumn("__moved", F.col("__to") != F.col("key"))
+    tags = graph.nodes.filter(F.col("kind") == TAG).join(spread(c), F.col("key") == F.col("__n"), "left").withColumn("__to", F.coalesce("__c", "key")).withColumn("__moved", F.col("__to") != F.col("key"))
     tags = materialize(tags, "tags")
     groups = tags.groupBy("__to").agg(F.min(F.struct(F.col("__moved"), F.col("id"))).alias("__first"), F.max(F.when(F.col("__moved"), F.col("__count"))).alias("__count"), *_furthest("__to"), F.max(F.struct((~F.col("__moved")).alias("a"), F.col("listingNextPage").alias("p"))).alias("__own"), F.max(F.when(F.col("__moved"), F.col("listingNextPage"))).alias("__other"))
     status = F.col("__s.s")
     page = F.when(status == "partial", F.coalesce("__other", F.col("__own.p"))).when(status == "unexplored", F.col("__own.p"))
     keep = groups.select(F.col("__first.id").alias("id"), F.col("__to").alias("key"), "estimatedFreq", F.greatest("calibratedFreq", "__count").alias("calibratedFreq"), status.alias("explorationStatus"), "exploredAt", page.cast("int").alias("listingNextPage"), "listingPagesFetched", (status == "complete").alias("explored"))
     rest = graph.nodes.filter(F.col("kind") == TAG).select("id", "kind", "title", "wordCount", "meta")
-    nodes = graph.nodes.filter(F.col("kind") != TAG).unionByName(keep.join(rest, "id").select(graph.nodes.columns))
-    to = tags.join(groups.select("__to", F.col("__first.id").alias("__id")), "__to").select(F.col("id").alias("tagNodeId"), F.col("__id"))
-    edges = graph.edges.join(to, "tagNodeId", "left").select("workNodeId", F.coalesce("__id", "tagNodeId").alias("tagNodeId")).distinct()
+    nodes = graph.nodes.filter(F.col("kind") != TAG).unionByName(keep.join(spread(rest), "id").select(graph.nodes.columns))
+    to = tags.join(spread(groups.select("__to", F.col("__first.id").alias("__id"))), "__to").select(F.col("id").alias("tagNodeId"), F.col("__id"))
+    edges = graph.edges.join(spread(to), "tagNodeId", "left").select("workNodeId", F.coalesce("__id", "tagNodeId").alias("tagNodeId")).distinct()
     return Graph(nodes, edges, graph.author_edges), tags.agg(F.sum(F.col("__moved").cast("long")).alias("merged"))
 
 

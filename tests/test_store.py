@@ -10,6 +10,7 @@ from tessera.functions import text as TX
 from tessera.functions import urls as U
 from tessera.operators import store as S
 from tessera.schema import Graph
+from tessera.session import materialize
 from tessera.sources import graph_json as J
 from tessera.sources import html as H
 from tessera.sources.stats_csv import content_tags, parse_lines
@@ -37,6 +38,21 @@ def test_alias_chains(spark):
     assert got[110] == (110, 0) and got[112] == (112, 0) and got[113] == (113, 0)
 
 
+def test_long_alias_chains_take_few_joins_and_no_broadcast(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(S, "materialize", lambda df, what="step": written.append(what) or materialize(df, what))
+    n = 5000
+    tags = spark.range(n).select(F.col("id").alias("tag_id"), F.concat(F.lit("t"), "id").alias("name"), F.when(F.col("id") > 0, F.col("id") - 1).alias("merger_id"))
+    ring = spark.range(10_000, 10_040).select(F.col("id").alias("tag_id"), F.concat(F.lit("r"), "id").alias("name"), (10_000 + (F.col("id") - 9_999) % 40).alias("merger_id"))
+    loop = spark.createDataFrame([(20_000 + i, f"l{i}", 20_000 + (i + 1 if i < 34 else 30)) for i in range(35)], "tag_id long, name string, merger_id long")
+    roots = S.alias_roots(tags.unionByName(ring))
+    assert len(written) <= 7 and "Broadcast" not in roots._jdf.queryExecution().executedPlan().toString()
+    got = {r["tag_id"]: (r["root"], r["hops"]) for r in roots.collect()}
+    assert all(got[i] == (max(0, i - 32), min(i, 32)) for i in range(n)) and got[10_000] == (10_032, 32) and got[10_020] == (10_012, 32)
+    got = {r["tag_id"]: (r["root"], r["hops"]) for r in S.alias_roots(tags.unionByName(loop)).collect()}
+    assert got[20_000] == (20_032, 32) and got[20_002] == (20_034, 32) and got[20_003] == (20_034, 31) and got[20_030] == (20_034, 4) and got[20_032] == (20_031, 4) and got[4_999] == (4_967, 32)
+
+
 def test_tag_merge_keeps_the_canonical_node(spark):
     g = graph(spark, [node(1, 0), node(2, 0), node(3, 1, "Synonym", est=4.0, status="complete", at=5), node(4, 1, "Canonical", est=2.0), node(5, 1, "Other")], [(1, 3), (2, 4), (1, 4), (2, 5)])
     canonical = spark.createDataFrame([("Synonym", "Canonical", 9)], "name string, canonical string, cached_count long")
@@ -130,3 +146,18 @@ def test_changed_between(spark):
 def test_empty_graph(spark):
     g = graph(spark, [])
     assert S.import_merge(g, Graph(g.nodes, g.edges, g.author_edges), 0).graph.nodes.count() == 0
+
+
+def test_statistics_are_dealt_out_and_never_broadcast(spark):
+    from tessera.operators import lookup as L
+
+    g = graph(spark, [node(1, 0), node(3, 1, "Synonym"), node(4, 1, "Canonical")], [(1, 3)])
+    stats = spark.createDataFrame([(1, "Canonical", 9, None), (2, "Synonym", 3, 1)], "tag_id long, name string, cached_count long, merger_id long")
+    broadcasts = lambda df: df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+    names = S.canonical_names(stats)
+    merged, changed = S.merge_tags(g, names)
+    put, index = L.stored_stats(stats, stats, g.nodes.filter("kind = 1").select("key"))
+    for df in (names, S.calibrate(g.nodes, stats), merged.nodes, merged.edges, put, index):
+        assert not broadcasts(df)
+    assert broadcasts(L.with_stats_tags(g.nodes, stats, stats, 10)) <= 1  # that of the counted runs, 256 rows at most
+    assert changed.first()["merged"] == 1 and sorted(r["id"] for r in merged.nodes.collect()) == [1, 4]
