@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.text import is_redacted, trimmed
 from ..schema import TAG, Graph
+from ..session import spread
 
 FILE_NAME = r"(?i)tags-\d{8}\.csv$"
 #: Tag types that describe works rather than what they are about.
@@ -88,7 +89,7 @@ def import_stats(graph: Graph, stats: DataFrame, known: DataFrame | None = None,
         put, names = (known, names.limit(0)) if known is not None else (stats.limit(0), names.limit(0))
     if not apply:
         return StatsImport(stats.count() if store else 0, 0, 0, graph, put, names)
-    calibrated = tags.join(stats.select(F.col("name").alias("key")).distinct(), "key", "left_semi").count()
+    calibrated = tags.join(spread(stats.select(F.col("name").alias("key")).distinct()), "key", "left_semi").count()
     graph = Graph(calibrate(graph.nodes, stats), graph.edges, graph.author_edges)
     graph, merged = merge_tags(graph, canonical_names(stats))
     return StatsImport(stats.count() if store else 0, calibrated, merged.first()["merged"] or 0, graph, put, names)
