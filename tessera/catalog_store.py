@@ -18,7 +18,7 @@ from .operators import lookup as L
 from .operators import store as S
 from .oracles import _BASE, _STATS, _with
 from .schema import AUTHOR, TAG, WORK, Graph
-from .session import materialize, scratch
+from .session import materialize, scratch, spread
 from .sources import graph_json as J
 from .sources import stats_csv as C
 from .sources.html import listed_works, parse_pages
@@ -139,7 +139,7 @@ def stats_tag_nodes(spark, sf):
     """A tag for the canonical name of every third row of the statistics, in a graph that has the tags of even size."""
     stats = stats_tags(spark, sf)
     names = stats.select(s("tag_id").alias("__k"), F.col("name").alias("__n"), "cached_count")
-    tags = load_graph(spark, sf).nodes.filter(F.col("kind") == TAG).join(names.filter("cached_count % 2 = 0"), F.col("key") == F.col("__k")).withColumn("key", F.col("__n")).drop("__k", "__n", "cached_count")
+    tags = load_graph(spark, sf).nodes.filter(F.col("kind") == TAG).join(spread(names.filter("cached_count % 2 = 0")), F.col("key") == F.col("__k")).withColumn("key", F.col("__n")).drop("__k", "__n", "cached_count")
     return L.with_stats_tags(tags, stats, stats.filter("tag_id % 3 = 0"), 900_000).select("id", "key", "calibratedFreq")
 
 
@@ -297,7 +297,7 @@ def stats_import(spark, sf):
     g = load_graph(spark, sf)
     stats = stats_tags(spark, sf)
     names = stats.select(s("tag_id").alias("__k"), F.col("name").alias("__n"))
-    named = g.nodes.join(names, (F.col("kind") == TAG) & (F.col("key") == F.col("__k")), "left").withColumn("key", F.coalesce("__n", "key")).drop("__k", "__n")
+    named = g.nodes.join(spread(names), (F.col("kind") == TAG) & (F.col("key") == F.col("__k")), "left").withColumn("key", F.coalesce("__n", "key")).drop("__k", "__n")
     got = C.import_stats(Graph(named, g.edges, g.author_edges), stats)
     tags = got.graph.nodes.filter(F.col("kind") == TAG).count()
     return spark.createDataFrame([(got.stored, got.calibrated, got.merged, tags)], "stored long, calibrated long, merged long, left_tags long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.numbering import dense_numbers
 from ..schema import META, STATES, TAG, WORK, Graph
+from ..session import spread
 from .store import alias_roots, merge_tags
 
 
@@ -42,10 +43,10 @@ def stats_by_name(stats: DataFrame, names: DataFrame) -> DataFrame:
 
 def stored_stats(stats: DataFrame, new: DataFrame, graph_names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The statistics with new rows put by tag_id, and the index (name, tag_id), of graph names only if those are given."""
-    put = stats.join(new.select("tag_id"), "tag_id", "left_anti").unionByName(new)
+    put = stats.join(spread(new.select("tag_id")), "tag_id", "left_anti").unionByName(new)
     indexed = put.filter("name <> ''")
     if graph_names is not None:
-        indexed = indexed.join(graph_names.select(F.col("key").alias("name")), "name", "left_semi")
+        indexed = indexed.join(spread(graph_names.select(F.col("key").alias("name"))), "name", "left_semi")
     return put, indexed.groupBy("name").agg(F.max("tag_id").alias("tag_id"))
 
 
@@ -94,11 +95,11 @@ def renamed_tags(graph: Graph, names: DataFrame) -> Graph:
 
 def with_stats_tags(nodes: DataFrame, stats: DataFrame, wanted: DataFrame, next_id: int) -> DataFrame:
     """nodes with a tag for the canonical name of each wanted (tag_id): the one there is takes the count, else a new one."""
-    ends = alias_roots(stats).join(wanted.select("tag_id"), "tag_id", "left_semi").select(F.col("root").alias("tag_id")).distinct()
-    named = stats.join(ends, "tag_id").groupBy(F.col("name").alias("__n")).agg(F.max("cached_count").cast("double").alias("__c"), F.min("tag_id").alias("__t"))
+    ends = alias_roots(stats).join(spread(wanted.select("tag_id")), "tag_id", "left_semi").select(F.col("root").alias("tag_id")).distinct()
+    named = stats.join(spread(ends), "tag_id").groupBy(F.col("name").alias("__n")).agg(F.max("cached_count").cast("double").alias("__c"), F.min("tag_id").alias("__t"))
     is_tag = F.col("kind") == TAG
-    kept = nodes.join(named, is_tag & (F.col("key") == F.col("__n")), "left").withColumn("calibratedFreq", F.when(F.col("__n").isNotNull(), F.greatest("calibratedFreq", "__c")).otherwise(F.col("calibratedFreq"))).drop("__n", "__c", "__t")
-    fresh = named.join(nodes.filter(is_tag).select(F.col("key").alias("__n")), "__n", "left_anti").filter(F.col("__n") != "")
+    kept = nodes.join(spread(named), is_tag & (F.col("key") == F.col("__n")), "left").withColumn("calibratedFreq", F.when(F.col("__n").isNotNull(), F.greatest("calibratedFreq", "__c")).otherwise(F.col("calibratedFreq"))).drop("__n", "__c", "__t")
+    fresh = named.join(spread(nodes.filter(is_tag).select(F.col("key").alias("__n"))), "__n", "left_anti").filter(F.col("__n") != "")
     fresh = dense_numbers(fresh, "__t", "id", next_id)
     none = {"title": "string", "wordCount": "long", "exploredAt": "long", "listingNextPage": "int"}
     values = {"kind": F.lit(TAG), "key": F.col("__n"), "estimatedFreq": F.lit(1.0), "calibratedFreq": F.col("__c"), "explorationStatus": F.lit(STATES[0]), "listingPagesFetched": F.lit(0), "explored": F.lit(False), "meta": F.lit(None).cast(META)}
