@@ -10,8 +10,8 @@ from .common import settle
 #: Words of a k-gram, and words of a shared span that is always found.
 GRAM, SPAN = 5, 10
 #: Words of all items together up to which their fingerprints and windows (some 80 bytes a word) are
-#: broadcast, and rows of (document, k-gram) that met up to which they are (60 bytes each); beyond, both sides are shuffled.
-SMALL, MEETING = 400_000, 50_000
+#: broadcast, and documents that met an item up to which their hashes are (some 30 bytes each); beyond, both sides are shuffled.
+SMALL, MEETING = 400_000, 1_000_000
 _APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -100,18 +100,17 @@ def _hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     keyed = docs.select(*_identity("doc_id"), "text")
     seen = keyed.select(*_KEY, words(F.col("text")).alias("w")).select(*_KEY, F.explode(fingerprint(w, short)).alias("mark"))
-    met = settle(seen.join(marks, "mark").select(*_KEY, "mark").distinct(), "met")
-    # The texts of documents that met an item; then the places of the k-grams that met.
-    who = met.select(*[F.col(c).alias(f"m_{c}") for c in _KEY]).distinct()
-    who = F.broadcast(who) if met.count() <= MEETING else who
-    texts = keyed.join(who, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in _KEY], "left_semi").select(*_KEY, words(F.col("text")).alias("w"))
+    met = settle(seen.join(marks, "mark", "left_semi").select(*_KEY).distinct(), "met")
+    # The texts of documents that met an item, by a hash of what tells them apart: one too many does no harm, as windows are
+    # compared. So are places of k-grams that did not meet in their document's fingerprint.
+    who = met.select(F.xxhash64(*_KEY).alias("m_who")).distinct()
+    who = F.broadcast(who) if who.count() <= MEETING else who
+    texts = keyed.join(who, F.xxhash64(*_KEY) == F.col("m_who"), "left_semi").select(*_KEY, words(F.col("text")).alias("w"))
     texts = settle(texts, "met_texts")
-    met = met.select(*[F.col(c).alias(f"m_{c}") for c in _KEY], F.col("mark").alias("m_mark"))
-    met = F.broadcast(met) if met.count() <= MEETING else met
     hits = None
     for k, n in ((GRAM, SPAN), *[(n, n) for n in short]):
         at = texts.select(*_KEY, F.posexplode(grams(w, k)).alias("p", "mark"))
-        at = at.join(met, [*[F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in _KEY], F.col("mark") == F.col("m_mark")], "left_semi")
+        at = at.join(marks, "mark", "left_semi")
         # The windows of n words that hold the k-gram begin up to n - k words before it.
         first = at.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.greatest(F.col("p") + 1 - (n - k), F.lit(1)), F.col("p") + 1)))).alias("starts"))
         first = first.select(*[F.col(c).alias(f"s_{c}") for c in _KEY], "starts")

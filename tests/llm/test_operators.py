@@ -383,3 +383,19 @@ def test_texts_of_no_known_language_are_rejected(spark):
     d = spark.createDataFrame(list(enumerate([*clean, *foreign])), "doc_id long, text string")
     got = {r["doc_id"]: r["accepted"] for r in language_id.identify(d, language_id.fit(train)).collect()}
     assert [got[i] for i in range(len(clean) + len(foreign))] == [True] * len(clean) + [False] * len(foreign)
+
+
+def test_documents_that_meet_items_are_told_by_broadcast_hashes(spark, monkeypatch):
+    """One document that meets an item at many k-grams is one, so its text is found without dealing out all texts; both ways agree."""
+    from tessera.llm import decontamination as D
+
+    item = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"a b {item} c"), (2, "x " * 30), (None, item[:40])], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    plans, settle = {}, D.settle
+    monkeypatch.setattr(D, "settle", lambda df, what="table": plans.update({what: df._jdf.queryExecution().executedPlan().toString()}) or settle(df, what))
+    monkeypatch.setattr(D, "MEETING", 2)
+    near = sorted(map(str, D.find_leaks(docs, bench).collect()))
+    assert "BroadcastHashJoin" in plans["met_texts"] and "SortMergeJoin" not in plans["met_texts"]
+    monkeypatch.setattr(D, "MEETING", 0)
+    assert sorted(map(str, D.find_leaks(docs, bench).collect())) == near and "n_hit=60" in "".join(near)
