@@ -90,3 +90,28 @@ def test_stream_matches_fold(spark, tmp_path):
     spark.createDataFrame([(1, "https://x.org/works/5", "<h2 class=title>T</h2>")], "page_id long, url string, html string").write.parquet(str(pages))
     ingest(page_stream(spark, str(pages)), lambda d, n: seen.extend(d.select("workId", "title").collect()), str(tmp_path / "cp2")).awaitTermination()
     assert [tuple(r) for r in seen] == [("5", "T")]
+
+
+def test_plain_pages_are_cut_without_the_library_into_the_same_tree():
+    from tessera.sources import html as H
+
+    def library(text):
+        b = H._Builder()
+        b.feed(text)
+        b.close()
+        return b.root
+
+    def shape(n):
+        parts = []
+        for c in n.children:
+            if isinstance(c, str) and parts and isinstance(parts[-1], str):
+                parts[-1] += c
+            else:
+                parts.append(c if isinstance(c, str) else shape(c))
+        return n.tag, n.attrs, parts
+
+    plain = ['<!DOCTYPE html><title>a &amp; b</title><ol class="work index group"><li class="work blurb"><p>x<p>y<br/>z</li><li CLASS="A b">&lt;é</li></ol></b>tail', '<dl><dt>a<dd class="words">1<dd>2</dl><!-- no --><script>x&amp;</script><a href="?a=1&amp;b=2&copy=3">t</a>']
+    other = ["<a href=x>t</a>", "<script>if (a<b) c()</script><p>d", "a < b", "<p", "<!-- a -- b --><i>c</i>", '<aİ b="1">c']
+    for text in plain + other:
+        assert shape(H.tree(text)) == shape(library(text))
+    assert all(H.plain_tree(t) is not None for t in plain) and all(H.plain_tree(t) is None for t in other)
