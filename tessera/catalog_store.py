@@ -207,7 +207,7 @@ def settings_normalized(spark, sf):
     done = F.struct(F.lit("x").alias("mode"), F.lit("2").alias("permeability"), F.array(F.lit("Complete"), F.lit("Incomplete")).alias("values"))
     fandoms = F.struct(F.lit("x").alias("mode"), F.lit("-1").alias("permeability"), F.array(F.col("l_returnflag"), F.lit(" N "), F.lit(""), F.lit("N")).alias("values"))
     raw = F.to_json(F.struct(number.alias("topResults"), lam.alias("negativeRelevanceLambda"), F.when(F.col("l_linestatus") == "F", "dark").otherwise("pink").alias("theme"), F.when(F.col("l_returnflag") == "R", "topo-query").otherwise("best").alias("expansionPolicy"), F.struct(one.alias("language"), none.alias("rating"), done.alias("completionStatus"), fandoms.alias("fandoms")).alias("permeability")))
-    n = li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", ST.normalized(raw).alias("n"))
+    n = li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", ST.parsed(raw).alias("s")).withColumn("n", ST.bounded(F.col("s")))
     return n.select("l_orderkey", "l_linenumber", "l_partkey", F.col("n.topResults").alias("top"), F.col("n.negativeRelevanceLambda").alias("lam"), "n.theme", F.col("n.expansionPolicy").alias("policy"), F.col("n.permeability.language.mode").alias("mode"), F.col("n.permeability.language.permeability").alias("permeability"),
         F.array_join("n.permeability.rating.values", "|").alias("ratings"), F.array_join("n.permeability.completionStatus.values", "|").alias("done"), F.array_join("n.permeability.fandoms.values", "|").alias("fandoms"))
 

@@ -46,9 +46,18 @@ def filter_values(category: str, values: Column) -> Column:
     return F.slice(out, 1, 1) if category == "completionStatus" else out
 
 
+def parsed(raw: Column) -> Column:
+    """The fields of a JSON text as they stand there."""
+    return F.from_json(raw, SHAPE)
+
+
 def normalized(raw: Column) -> Column:
     """Settings of a JSON text as a struct with every field, whatever the text lacks or has wrong."""
-    s = F.from_json(raw, SHAPE)
+    return F.element_at(F.transform(F.array(parsed(raw)), bounded), 1)  # parsed once a row
+
+
+def bounded(s: Column) -> Column:
+    """`normalized` of parsed fields; s should be a column, as every field of it is looked at."""
     numbers = [(clamp if k == "negativeRelevanceLambda" else clamp_int)(s[k], *BOUNDS[k], DEFAULTS[k]).alias(k) for k in BOUNDS]
     theme = F.when(s["theme"].isin(*THEMES), s["theme"]).otherwise("system").alias("theme")
     policy = F.when(s["expansionPolicy"].isin(*POLICIES), s["expansionPolicy"]).otherwise("topological").alias("expansionPolicy")

@@ -161,3 +161,14 @@ def test_statistics_are_dealt_out_and_never_broadcast(spark):
         assert not broadcasts(df)
     assert broadcasts(L.with_stats_tags(g.nodes, stats, stats, 10)) <= 1  # that of the counted runs, 256 rows at most
     assert changed.first()["merged"] == 1 and sorted(r["id"] for r in merged.nodes.collect()) == [1, 4]
+
+
+def test_settings_are_parsed_once_a_row(spark):
+    from tessera.functions import settings as ST
+
+    raw = spark.createDataFrame([('{"topResults": "999", "theme": "dark", "permeability": {"rating": {"values": [" Mature ", "x"]}}}',), ("no JSON",)], "raw string")
+    both = raw.select(ST.normalized(F.col("raw")).alias("n"), ST.parsed(F.col("raw")).alias("s")).select("n", ST.bounded(F.col("s")).alias("m"))
+    assert all(r["n"] == r["m"] for r in both.collect())
+    n = raw.select(ST.normalized(F.col("raw")).alias("n")).select("n.topResults", "n.theme", "n.permeability.rating.values", "n.negativeRelevanceLambda")
+    assert n._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [tuple(r) for r in n.collect()] == [(200, "dark", ["Mature"], 3.0), (25, "system", [], 3.0)]
