@@ -18,7 +18,7 @@ from .operators import lookup as L
 from .operators import store as S
 from .oracles import _BASE, _STATS, _with
 from .schema import AUTHOR, TAG, WORK, Graph
-from .session import materialize, scratch, spread
+from .session import dealt, materialize, scratch, spread
 from .sources import graph_json as J
 from .sources import stats_csv as C
 from .sources.html import listed_works, parse_pages
@@ -370,7 +370,7 @@ def _work_page() -> Column:
 @query("""SELECT o_orderkey, 'work' AS kind, CAST(o_orderkey AS VARCHAR) AS workId, 'Order ' || o_orderkey AS title, CAST(floor(o_totalprice) AS BIGINT) AS wordCount, 'Fandom ' || (o_orderkey % 10) || '|' || c_mktsegment || '|shared' AS tags, 'u' || o_custkey AS author, c_name AS name, o_orderpriority AS rating, 'W1' AS warnings, c_mktsegment AS language,
  CASE WHEN o_orderkey % 3 = 0 THEN 'Incomplete' WHEN o_orderkey % 5 + 1 >= 3 THEN 'Complete' ELSE 'Incomplete' END AS done, 'https://example.org/works/' || o_orderkey AS url FROM orders JOIN customer ON c_custkey = o_custkey""")
 def html_works(spark, sf):
-    o = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = dealt(read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")), "o_orderkey")
     pages = o.select("o_orderkey", F.concat(F.lit("http://other.example/works/"), s("o_orderkey"), F.lit("?view=full")).alias("url"), _work_page().alias("html"))
     w = parse_pages(pages, "o_orderkey")
     return w.select("o_orderkey", "kind", "workId", "title", "wordCount", F.array_join("tags", "|").alias("tags"), F.array_join(F.col("authors.key"), "|").alias("author"), F.array_join(F.col("authors.displayName"), "|").alias("name"), "meta.rating", F.array_join("meta.archiveWarnings", "|").alias("warnings"), "meta.language", F.col("meta.completionStatus").alias("done"), "url")
@@ -401,7 +401,7 @@ def _listing_pages(spark: SparkSession, sf: str) -> DataFrame:
     count = F.format_number(k + 1000, 0)
     head = F.when(of == 0, F.concat(F.lit("1 - 20 of "), count, F.lit(" Works in <a>T</a>"))).when(of == 1, F.concat(F.lit("Works by "), "p_brand", F.lit(" - Works"))).otherwise(F.concat(count, F.lit(" Found")))
     url = F.when(of == 0, U.tag_works_url(F.col("p_name"), page)).when(of == 1, U.author_works_url(F.concat(F.lit("a"), s(k)), page)).otherwise("https://example.org/works/search?work_search%5Bquery%5D=x")
-    return read(spark, sf, "part").select("p_partkey", url.alias("url"), _listing("", head, s(k), F.concat(a, b, a), page, following).alias("html"))
+    return dealt(read(spark, sf, "part"), "p_partkey").select("p_partkey", url.alias("url"), _listing("", head, s(k), F.concat(a, b, a), page, following).alias("html"))
 
 
 @query("""SELECT p_partkey, ['tag', 'author', 'search'][p_partkey % 3 + 1] AS kind, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS tagName, CASE WHEN p_partkey % 3 = 1 THEN 'a' || p_partkey END AS authorKey, CASE WHEN p_partkey % 3 = 1 THEN p_brand END AS displayName, CASE WHEN p_partkey % 3 <> 1 THEN p_partkey + 1000 END AS workCount, CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 1 END AS page,
@@ -425,7 +425,7 @@ def merged_work_pages(spark, sf):
     """All orders' work pages, parsed and merged into an empty graph."""
     from .operators.pages import merge_pages
 
-    o = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = dealt(read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")), "o_orderkey")
     pages = o.select(F.col("o_orderkey").alias("seq"), U.work_url(s("o_orderkey")).alias("url"), _work_page().alias("html"))
     parsed = materialize(parse_pages(pages, "seq"), "parsed")
     g, _ = merge_pages(L.emptied(load_graph(spark, sf)), parsed, 0, NOW)

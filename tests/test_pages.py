@@ -115,3 +115,11 @@ def test_plain_pages_are_cut_without_the_library_into_the_same_tree():
     for text in plain + other:
         assert shape(H.tree(text)) == shape(library(text))
     assert all(H.plain_tree(t) is not None for t in plain) and all(H.plain_tree(t) is None for t in other)
+
+
+def test_listings_of_one_small_file_are_parsed_in_many_tasks(spark, tmp_path):
+    from tessera.catalog_store import QUERIES
+
+    spark.createDataFrame([(i, f"n{i}", "Brand#1", "T", 3) for i in range(200)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = QUERIES["html_listings"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and out.count() == 200
