@@ -15,6 +15,7 @@ from tessera.llm import content_store, language_id, mixing, ngram_join
 from tessera.llm.common import drop_path, made, settle
 from tessera.llm.decontamination import drop_leaks
 from tessera.llm.queries import table, tokenizer_path
+from tessera.session import spread
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -49,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = settle(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "rows")
     sized = rows.select("doc_id", "source", "__row", mixing.words_in(F.col("text")).alias("size"))
     taken = settle(mixing.mix(sized, "size", keep=("__row",)).filter("taken > 0").select(F.col("__row").alias("__taken"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times")), "taken")
-    mixed = rows.join(taken, rows["__row"] == taken["__taken"])
+    mixed = rows.join(spread(taken), rows["__row"] == taken["__taken"])
     return mixed.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*COLUMNS)
 
 
