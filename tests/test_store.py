@@ -163,6 +163,13 @@ def test_statistics_are_dealt_out_and_never_broadcast(spark):
     assert changed.first()["merged"] == 1 and sorted(r["id"] for r in merged.nodes.collect()) == [1, 4]
 
 
+def test_merged_tags_take_their_names_without_a_broadcast(spark):
+    from tessera.catalog import tag_merge_nodes
+
+    joins = [x for x in tag_merge_nodes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert any("SortMergeJoin" in x for x in joins) and not [x for x in joins if "Broadcast" in x and any(c in x for c in ("__k#", "__n#", "__to#"))]
+
+
 def test_settings_are_parsed_once_a_row(spark):
     from tessera.functions import settings as ST
 
