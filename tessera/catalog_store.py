@@ -320,12 +320,11 @@ def _next(g: Graph) -> int:
 
 @query(f"{_with()} SELECT id, kind, key, est AS estimatedFreq, cal AS calibratedFreq, st AS explorationStatus, xat AS exploredAt, nxt AS listingNextPage, coalesce(c.n, 0) AS links FROM nodes LEFT JOIN (SELECT wid, count(*) AS n FROM links GROUP BY wid) c ON c.wid = id")
 def graph_export(spark, sf):
-    """The graph as a JSON document, written, read, checked and imported over an empty one."""
+    """The graph as one JSON document in files of lines, written, read, checked and imported over an empty one."""
     g = load_graph(spark, sf)
-    doc = J.export_graph(g, _next(g), "2025-01-01T00:00:00Z")
     path = f"{scratch(spark)}/export-{uuid.uuid4().hex}"
-    doc.write.text(path)
-    out = J.import_graph(spark, L.emptied(g), 0, spark.read.option("wholetext", "true").text(path), "overwrite").graph
+    J.write_document(g, _next(g), "2025-01-01T00:00:00Z", path)
+    out = J.import_document(spark, L.emptied(g), 0, path, "overwrite").graph
     links = out.edges.select("workNodeId").unionByName(out.author_edges.select("workNodeId")).groupBy("workNodeId").agg(F.count("*").alias("links"))
     n = out.nodes.join(links, F.col("id") == F.col("workNodeId"), "left")
     return n.select("id", "kind", "key", "estimatedFreq", "calibratedFreq", "explorationStatus", "exploredAt", "listingNextPage", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -85,6 +85,36 @@ def test_json_round_trip_and_faults(spark):
     assert J.import_graph(spark, g, 3, text, "merge").graph.nodes.count() == 3
 
 
+def test_json_document_in_files(spark, tmp_path):
+    import gzip
+
+    n = 300
+    g = graph(spark, [node(0, 0, 'a\n],"edges":[\u2028"'), *[node(i, 1, f"t{i}") for i in range(1, n)]], [(0, i) for i in range(1, n)] + [(0, 1)], [])
+    g = Graph(g.nodes.repartition(7), g.edges.repartition(5), g.author_edges)
+    whole = J.export_graph(g, n, "now").first()["value"]
+    J.write_document(g, n, "now", str(tmp_path / "doc"))
+    files = sorted((tmp_path / "doc").glob("part-*"))
+    lines = "".join(gzip.open(f, "rt", encoding="utf-8", newline="").read() for f in files)
+    assert max(map(len, lines.split("\n"))) < 400  # no line holds the document
+    got, want = json.loads(lines), json.loads(whole)
+    for d in (got, want):
+        for t in ("nodes", "edges", "authorEdges"):
+            d[t] = sorted(map(json.dumps, d[t]))
+    assert got == want
+    back, next_id = J.read_document(spark, str(tmp_path / "doc"))
+    assert next_id == n and sorted(map(tuple, back.edges.collect())) == sorted(map(tuple, g.edges.collect())) and not back.author_edges.count()
+    assert {r["id"]: r for r in back.nodes.collect()} == {r["id"]: r for r in g.nodes.collect()}
+    assert J.import_document(spark, g, n, str(tmp_path / "doc"), "merge").graph.nodes.count() == n
+    empty = Graph(*(t.limit(0) for t in (g.nodes, g.edges, g.author_edges)))
+    J.write_document(empty, 0, "now", str(tmp_path / "empty"))
+    assert J.read_document(spark, str(tmp_path / "empty"))[0].nodes.count() == 0
+    text = lines.rstrip("\n").split("\n")
+    for i, bad in enumerate((text[:-1], [*text, "x"], [text[0].replace('"version":2', '"version":9'), *text[1:]], [text[0].replace(f":{n},", ":2,"), *text[1:]], [t.replace('"tagNodeId":7}', '"tagNodeId":7777}') for t in text], [t.replace('"id":9,', '"id":8,') for t in text], [t.replace('"kind":1,', '"kind":7,') for t in text])):
+        spark.createDataFrame([(t,) for t in bad], "value string").coalesce(1).write.text(str(tmp_path / f"bad{i}"))
+        with pytest.raises(J.BadDocument):
+            J.read_document(spark, str(tmp_path / f"bad{i}"))
+
+
 def test_csv_lines(spark):
     lines = ['1,Freeform,"a ""b"", c",true,12,', "2,Fandom, X ,false,3,1", "3,Rating,r,TRUE,0,7x", "-1,a,b,true,1,", "4,a,Redacted,true,1,", "5,a,b", "", "6,a,b,true,x,"]
     rows = parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")).orderBy("tag_id").collect()
