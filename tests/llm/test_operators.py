@@ -399,3 +399,20 @@ def test_documents_that_meet_items_are_told_by_broadcast_hashes(spark, monkeypat
     assert "BroadcastHashJoin" in plans["met_texts"] and "SortMergeJoin" not in plans["met_texts"]
     monkeypatch.setattr(D, "MEETING", 0)
     assert sorted(map(str, D.find_leaks(docs, bench).collect())) == near and "n_hit=60" in "".join(near)
+
+
+def test_strings_of_several_pieces_share_one_hash_table():
+    from tessera.llm import ctw
+
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 40, n).astype(np.uint64) for n in (300, 0, 7, 500)]
+    distinct, place, numbers = ctw.encoded(ctw.together(parts))
+    assert list(distinct) == sorted(set(np.concatenate(parts).tolist()))
+    assert [list(distinct[place[x]]) for x in numbers] == [list(x) for x in parts]
+    values, n = ctw.tally(parts)
+    assert dict(zip(values.tolist(), n.tolist())) == {v: int((np.concatenate(parts) == v).sum()) for v in distinct.tolist()}
+    nothing = ctw.encoded(ctw.together([]))
+    assert not len(nothing[0]) and nothing[2] == []
+    out, begin = ctw.plain(np.frombuffer(b"Ab c" + b"d", np.uint8), np.array([0, 4, 5]))
+    code, at = ctw.codes(out, begin)
+    assert [int(c).to_bytes(8, "big")[-4:] for c in code] == [b"\n\n\na", b"\n\nab", b"\nab ", b"ab c", b"b c\n", b"\n\n\nd", b"\n\nd\n"] and list(at) == [0, 5, 7]
