@@ -1,6 +1,7 @@
 """Small graphs with known answers, and both strategies of propagation against each other."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -170,3 +171,20 @@ def test_bfs_and_ball(spark):
     ball = E.depth_ball(g, adj, start, 2)
     assert ball.nodes.count() == 3 and ball.edges.count() == 2 and ball.author_edges.count() == 0
     assert {r["id"]: r["explored"] for r in ball.nodes.collect()} == {0: True, 1: True, 2: False}
+
+
+def test_large_transitions_are_written_once_and_links_dealt_by_work(spark, monkeypatch):
+    from tessera.operators import adjacency as A
+    from tessera.operators import propagation as P
+
+    g = graph(spark, [node(0, 0), node(1, 1, "t"), node(2, 2, "a"), node(3, 0)], [(0, 1), (0, 1), (3, 1)], [(0, 2)])
+    plan = A.adjacency(g)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(src" not in plan
+    assert sum(r["weight"] for r in A.adjacency(g).filter("src = 1 and dst = 0").collect()) == pytest.approx(2 / 3) and A.adjacency(g).count() == 6
+    written = []
+    monkeypatch.setattr(P, "materialize", lambda df, what="step": written.append(what))
+    t = P.Transitions(A.transitions(g.nodes, A.adjacency(g)), g.nodes, rows=P.LOCAL_EDGES + 1)
+    assert t.engine == "distributed" and not written and t.table.count() == 6
+    files = [f.removeprefix("file://") for f in t.table.inputFiles()]
+    t.release()
+    assert files and not [f for f in files if os.path.exists(f)]
