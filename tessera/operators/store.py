@@ -135,7 +135,7 @@ def merge_tags(graph: Graph, canonical: DataFrame) -> tuple[Graph, DataFrame]:
     status = F.col("__s.s")
     page = F.when(status == "partial", F.coalesce("__other", F.col("__own.p"))).when(status == "unexplored", F.col("__own.p"))
     keep = groups.select(F.col("__first.id").alias("id"), F.col("__to").alias("key"), "estimatedFreq", F.greatest("calibratedFreq", "__count").alias("calibratedFreq"), status.alias("explorationStatus"), "exploredAt", page.cast("int").alias("listingNextPage"), "listingPagesFetched", (status == "complete").alias("explored"))
-    rest = graph.nodes.filter(F.col("kind") == TAG).select("id", "kind", "title", "wordCount", "meta")
+    rest = tags.select("id", "kind", "title", "wordCount", "meta")  # from the written table: the nodes are not made, named and dealt out once more
     nodes = graph.nodes.filter(F.col("kind") != TAG).unionByName(keep.join(spread(rest), "id").select(graph.nodes.columns))
     to = tags.join(spread(groups.select("__to", F.col("__first.id").alias("__id"))), "__to").select(F.col("id").alias("tagNodeId"), F.col("__id"))
     edges = graph.edges.join(spread(to), "tagNodeId", "left").select("workNodeId", F.coalesce("__id", "tagNodeId").alias("tagNodeId")).distinct()

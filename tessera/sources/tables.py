@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.numbering import dense_numbers
 from ..schema import AUTHOR, META, STATES, TAG, WORK, Graph
+from ..session import spread
 
 #: Listing times of tags, in ms: an origin and a step for each part.
 LISTED, STEP = 1_700_000_000_000, 3_600_000
@@ -43,7 +44,7 @@ def load_graph(spark: SparkSession, sf_dir: str, meta: bool = False) -> Graph:
     )
     tag_freq = keys.groupBy("tag").agg(F.count("*").cast("double").alias("freq"))
     state = _state(F.col("p_size") % 3)
-    tags = dense_numbers(part, "p_partkey", "id", n_works).join(tag_freq, F.col("p_partkey") == F.col("tag"), "left").select(
+    tags = dense_numbers(part, "p_partkey", "id", n_works).join(spread(tag_freq), F.col("p_partkey") == F.col("tag"), "left").select(
         "id", F.lit(TAG).alias("kind"), F.col("p_partkey").cast("string").alias("key"), none("string").alias("title"), none("long").alias("wordCount"),
         F.coalesce("freq", F.lit(0.0)).alias("estimatedFreq"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("double")).alias("calibratedFreq"), state.alias("explorationStatus"),
         F.when(state != STATES[0], F.lit(LISTED) + F.col("p_partkey") * STEP).alias("exploredAt"), F.when(state == STATES[1], F.lit(2)).alias("listingNextPage"),

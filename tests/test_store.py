@@ -200,6 +200,16 @@ def test_merged_tags_take_their_names_without_a_broadcast(spark):
     assert any("SortMergeJoin" in x for x in joins) and not [x for x in joins if "Broadcast" in x and any(c in x for c in ("__k#", "__n#", "__to#"))]
 
 
+def test_merged_tags_are_made_once_and_counted_without_a_broadcast(spark):
+    from tessera.catalog import tag_merge_nodes
+    from tessera.sources.tables import load_graph
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "p_partkey" not in plan(tag_merge_nodes(spark, "/root/testdata/sf0.001"))  # all comes from the written tags
+    joins = [x for x in plan(load_graph(spark, "/root/testdata/sf0.001").nodes.filter("kind = 1")).splitlines() if "Join [p_partkey#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_settings_are_parsed_once_a_row(spark):
     from tessera.functions import settings as ST
 
