@@ -188,3 +188,67 @@ def test_large_transitions_are_written_once_and_links_dealt_by_work(spark, monke
     files = [f.removeprefix("file://") for f in t.table.inputFiles()]
     t.release()
     assert files and not [f for f in files if os.path.exists(f)]
+
+
+def test_large_adjacency_lies_in_buckets_and_is_iterated_in_place(spark):
+    from tessera.session import drop
+
+    rng = np.random.default_rng(5)
+    nodes = [node(i, 0, status=("complete", "unexplored")[i % 2]) for i in range(40)] + [node(40 + i, 1 + i % 2, f"h{i}", est=float(i)) for i in range(12)] + [node(60, 0)]
+    edges = [(int(w), 40 + 2 * int(h)) for w, h in zip(rng.integers(0, 40, 90), rng.integers(0, 6, 90))] + [(0, 99), (77, 40)]
+    authors = [(int(w), 41 + 2 * int(h)) for w, h in zip(rng.integers(0, 40, 30), rng.integers(0, 6, 30))]
+    g = graph(spark, nodes, edges, authors)
+    rows = lambda d: sorted((r["src"], r["dst"], round(r["weight"], 12)) for r in d.collect())
+    expected = rows(A.adjacency(g))
+    small, n = A.stored_adjacency(g, 10_000)
+    large, m = A.stored_adjacency(g, 0)
+    assert n == m == len(expected) and rows(small) == rows(large) == expected
+    plan = large.groupBy("src").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # rows of a node lie together already
+    tele = A.seed_teleport(A.resolve_seeds(g.nodes, [(0, "1"), (1, "h2")]))
+    receiver = g.nodes.select("id", F.lit(0.5).alias("value"))
+    t = Transitions(large, g.nodes, factors=A.row_factors(g.nodes, large))
+    for r in (None, receiver):
+        v = {x["id"]: x["value"] for x in t.run(tele, Params(0.15, 6, 0.0), r)[0].collect()}
+        w = {x["id"]: x["value"] for x in Transitions(A.transitions(g.nodes, A.adjacency(g)), g.nodes, "local").run(tele, Params(0.15, 6, 0.0), r)[0].collect()}
+        assert v.keys() == w.keys() and all(v[i] == pytest.approx(w[i]) for i in v)
+    files = [f.removeprefix("file://") for f in large.inputFiles()]
+    drop(large)
+    assert files and not [f for f in files if os.path.exists(f)]
+
+
+def test_query_search_of_a_large_graph_writes_no_transitions(spark, monkeypatch):
+    from tessera import catalog, session
+    from tessera.operators import propagation as P
+
+    small = catalog.query_astar(spark, "/root/testdata/sf0.001").first()
+    written, sweep = [], session.sweep
+    monkeypatch.setattr(session, "sweep", lambda spark, path: written.append(path.split("/")[-1]) or sweep(spark, path))
+    for m in (catalog, P):
+        monkeypatch.setattr(m, "LOCAL_EDGES", 0)
+    large = catalog.query_astar(spark, "/root/testdata/sf0.001").first()
+    assert [n for n in written if n.startswith("factors")] and not [n for n in written if n.startswith("transitions")]
+    assert (large["type"], large["key"], large["depth"], large["expanded"]) == (small["type"], small["key"], small["depth"], small["expanded"]) and large["score"] == pytest.approx(small["score"])
+
+
+def test_boundary_looks_at_each_link_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    for _ in range(3):
+        links = {(int(a), int(b)) for a, b in rng.integers(0, 30, (60, 2)) if a != b}
+        links |= {(b, a) for a, b in links}
+        sets = {f"s{k}": {int(i) for i in rng.choice(30, rng.integers(1, 25), replace=False)} for k in range(12)} | {"all": set(range(30))}
+        adj = spark.createDataFrame([(a, b, 1.0) for a, b in links], "src long, dst long, weight double")
+        rows = spark.createDataFrame([(h, i) for h, s in sets.items() for i in s], "hid string, id long")
+        counted = []
+        monkeypatch.setattr(T, "materialize", lambda df, what="step": counted.append((what, df.count())) or df.localCheckpoint())
+        got = {r["id"] for r in T.boundary_nodes(adj, rows, 30).collect()}
+        assert got == {a for s in sets.values() if len(s) < 30 for a, b in links if a in s and b not in s}
+        assert dict(counted)["near"] <= len(links)  # not each link for each set
+
+
+def test_conductance_of_nodes_with_potential(spark):
+    adj = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, weight double")
+    phi = spark.createDataFrame([(0, 0.5), (1, 0.25), (2, 0.0)], "id long, phi double")
+    rows = lambda d: {(r["src"], r["dst"]): r["c"] for r in d.collect()}
+    assert rows(T.conductance(adj, phi)) == {(0, 1): 0.125, (1, 0): 0.125, (1, 2): 0.0, (2, 1): 0.0}
+    assert rows(T.conductance(adj, phi, live=True)) == {(0, 1): 0.125, (1, 0): 0.125, (1, 2): 0.0}
